@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessella.llm import substring_dedup
+from tessella.llm import near_dedup, substring_dedup
 
 
 def queries() -> dict[str, Callable]:
-    return {"op6_substring_dedup": substring_dedup.op6_substring_dedup}
+    return {
+        "op1_minhash_dedup": near_dedup.op1_minhash_dedup,
+        "op6_substring_dedup": substring_dedup.op6_substring_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
