@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessella.llm import byte_bpe, near_dedup, packing, records, substring_dedup
+from tessella.llm import byte_bpe, language_id, near_dedup, packing, pii, records, substring_dedup
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_minhash_dedup": near_dedup.op1_minhash_dedup,
+        "op3_language_id": language_id.op3_language_id,
+        "op4_pii": pii.op4_pii,
         "op5_byte_bpe": byte_bpe.op5_byte_bpe,
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
