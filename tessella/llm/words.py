@@ -23,6 +23,9 @@ _TABLES = _RNG.integers(1, 2**63, size=(2, 256), dtype=np.uint64) * U64(2) + U64
 _BASES = [0x9E3779B97F4A7C13, 0xC2B2AE3D27D4EB53]  # both are 3 modulo 8
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Everything but ASCII letters and bytes of other characters.
+NOT_LETTER = np.ones(256, dtype=bool)
+NOT_LETTER[65:91] = NOT_LETTER[97:123] = NOT_LETTER[128:] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes of text that one block of work covers; a single longer document is one block.
@@ -100,14 +103,14 @@ class Words:
     ``bounds[i]`` to ``bounds[i + 1]``.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, separator: np.ndarray = _SEPARATOR) -> None:
         base = int(offsets[0])
         self.data = data[base : int(offsets[-1])]
         if lower:
             self.data = _LOWER[self.data]
         self.offsets = offsets - base
         n = len(self.data)
-        word = ~_SEPARATOR[self.data]
+        word = ~separator[self.data]
         edge = np.zeros(n + 1, dtype=bool)  # a document starts or ends here
         edge[self.offsets] = True
         before = np.empty(n, dtype=bool)
@@ -125,13 +128,22 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
-    def hashes(self, which: int = 0) -> np.ndarray:
-        """A 64-bit hash of each word."""
+    def hashes(self, which: int = 0, prefixes: tuple[int, ...] = ()) -> np.ndarray | list[np.ndarray]:
+        """A 64-bit hash of each word; with ``prefixes``, of each word and its first so many
+        bytes, hashes of the latter being 0 where the word is no longer than that."""
         up, down = _POWERS.upto(len(self.data) + 1)
         sums = np.empty(len(self.data) + 1, dtype=np.uint64)
         sums[0] = 0
         np.cumsum(_TABLES[which][self.data] * up[which][: len(self.data)], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[which][self.starts])
+        shift = down[which][self.starts]
+        out = mix((sums[self.ends] - sums[self.starts]) * shift)
+        if not prefixes:
+            return out
+        cuts = []
+        for k in prefixes:
+            to = np.minimum(self.starts + k, self.ends)
+            cuts.append(np.where(to < self.ends, mix((sums[to] - sums[self.starts]) * shift + U64(k)), U64(0)))
+        return [out, *cuts]
 
 
 def gram_hashes(words: np.ndarray, size: int, which: int = 0) -> np.ndarray:
