@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from tessella.llm import byte_bpe, exact_topk, language_id, near_dedup, neighbours, packing, pii, records, substring_dedup, toxicity
 
 
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable]:
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_token_records": records.op9_token_records,
         "op10_vantage_point_ann": neighbours.op10_vantage_point_ann,
+        "pipeline": corpus_pipeline.run,
     }
 
 
