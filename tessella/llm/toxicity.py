@@ -196,7 +196,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     y1, y0 = F.col("toxic") + prior, F.col("other") + prior
 
     def log_odds(y: Column, n: float) -> Column:
-        return F.log(y / (F.lit(n + PRIOR) - y))
+        return F.log(y / (F.lit(n + PRIOR + 1) - y))  # above zero for a word of every text
 
     scored = counts.select("h", "other", "toxic", (log_odds(y1, n1) - log_odds(y0, n0)).alias("d"))
     # log-likelihood ratio against no difference; so many features are tested that about
