@@ -76,7 +76,7 @@ class BitSlices:
         values = np.frombuffer(blob, np.int32, n * d, at + 8 * n).reshape(n, d)
         at += 8 * n + 4 * n * d
         lows, widths = np.frombuffer(blob, np.int64, d, at), np.frombuffer(blob, np.int64, d, at + 8 * d)
-        slices = np.frombuffer(blob, np.uint64, -1, at + 16 * d).reshape(s, -1)
+        slices = np.frombuffer(blob, np.uint64, -1, at + 16 * d).reshape(s, (n + 63) // 64)
         return cls(ids, values, slices, lows, widths)
 
     def sums(self, weights: np.ndarray) -> list[np.ndarray]:
