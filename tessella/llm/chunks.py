@@ -1,9 +1,11 @@
 """Encoding texts chunk by chunk with a bounded cache.
 
-A space between two characters that are not white space always starts a new match of the
-splitting pattern of byte-level vocabularies, so a text may be cut there and the chunks
-encoded apart. Most chunks recur; their ids are kept as little-endian bytes, and the ids of
-a text are one ``join``. Texts with other runs of white space are encoded as one chunk.
+A space or newline between two characters that are not white space always starts a new
+match of the splitting pattern of byte-level vocabularies, so a text may be cut there and
+the chunks encoded apart. Most chunks recur; their ids are kept as little-endian bytes, and
+the ids of a text are one ``join``. Texts with longer runs of white space, or with white
+space at an end, are encoded as one chunk. For vocabularies that drop white space, every
+run of it separates chunks.
 """
 
 from __future__ import annotations
@@ -17,14 +19,16 @@ from itertools import islice
 
 Encoder = Callable[[list[str]], list[bytes]]
 
-_IRREGULAR = re.compile(r"\s |  |\A | \Z| \s")
+_IRREGULAR = re.compile(r"\s\s|\A\s|\s\Z")
+#: White space to Python, but not to the vocabularies.
+_CONTROLS = re.compile("[\x1c-\x1f]")
 
 
 class ChunkCache:
     """Ids of texts by way of ``encode(chunks) -> list of bytes``.
 
-    ``spaced``: chunks but the first keep the space before them; otherwise spaces only
-    separate. Beyond ``limit`` chunks the newer half is forgotten, so memory is bounded.
+    ``spaced``: chunks but the first keep the space or newline before them; otherwise
+    white space only separates. Beyond ``limit`` chunks the newer half is forgotten, so memory is bounded.
     """
 
     def __init__(self, encode: Encoder, spaced: bool, limit: int = 900_000) -> None:
@@ -35,9 +39,9 @@ class ChunkCache:
         if self.spaced:
             if _IRREGULAR.search(text):
                 return text, []
-            first, *rest = text.split(" ")
+            first, *rest = text.replace("\n", " \n").split(" ")
             return first, rest
-        return "", text.split(" ")
+        return "", text.split(" ") if _CONTROLS.search(text) else text.split()
 
     def encode(self, texts: Sequence[str | None], group: int = 256) -> list[bytes]:
         """The ids of each text, as bytes; a null text is empty."""
@@ -54,7 +58,7 @@ class ChunkCache:
                     get = self.known.get
                     missing = dict.fromkeys(p for _, rest in cut for p in rest if get(p) is None)
                 names = list(missing)
-                self.known.update(zip(names, self.encode_chunks([" " + n for n in names] if self.spaced else names)))
+                self.known.update(zip(names, self.encode_chunks([n if n[0] == "\n" else " " + n for n in names] if self.spaced else names)))
                 get = self.known.get
                 rests = [list(map(get, rest)) for _, rest in cut]
             heads = self.encode_chunks([first for first, _ in cut]) if self.spaced else [b""] * len(cut)
@@ -114,25 +118,55 @@ _LATIN = re.compile(r"[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*").fullmatch
 _LATIN_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z\xdf-\xf6\xf8-\xff0-9]+").findall
 
 
+def _word_merges(path: str) -> tuple[Callable[[bytes], list[int]], list[int]]:
+    """A merger of the bytes of one word, and the ids of its ranks.
+
+    The end of a word is one more byte that no UTF-8 text holds; joining it to the last byte
+    ranks before all merges, so that what follows are the merges of the vocabulary.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    back = {c: bytes([b]) for b, c in BYTE_CHARS.items()}
+    end = model["end_of_word_suffix"]
+
+    def name(token: str) -> bytes:
+        stem = token.removesuffix(end)
+        return b"".join(back[c] for c in stem) + b"\xff" * (stem != token)
+
+    ids: list[int] = []
+    ranks: dict[bytes, int] = {}
+    vocab = model["vocab"]
+    firsts = [(bytes([b]), vocab[c]) for b, c in BYTE_CHARS.items()]
+    firsts += [(bytes([b, 255]), vocab[c + end]) for b, c in BYTE_CHARS.items()]
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    merged = [(name(a) + name(b), vocab[a + b]) for a, b in pairs]
+    for token, i in [*((t, i) for t, i in firsts if len(t) == 1), (b"\xff", -1), *((t, i) for t, i in firsts if len(t) == 2), *merged]:
+        if token not in ranks:
+            ranks[token] = len(ids)
+            ids.append(i)
+    return tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})._encode_single_piece, ids
+
+
 def word_encoder(path: str, code: str = "H", limit: int = 300_000) -> Encoder:
     """Chunks to id bytes for the lower-casing vocabulary of words.
 
     Chunks of ASCII and Latin-1 letters, which normalisation only lower-cases, are split
-    here and go straight to the library's model; all others take its whole path.
+    here and merged word by word; all others take the tokenizers library's whole path.
     """
-    tokenizer = _opened(path)
-    model, whole = tokenizer.model, library_encoder(path, code)
-    chars = str.maketrans({chr(b): c for b, c in BYTE_CHARS.items()})
+    whole = library_encoder(path, code)
+    merge, ids = _word_merges(path)
     known: dict[str, bytes] = {}
 
     def part(text: str) -> bytes:
-        ids = known.get(text)
-        if ids is None:
-            ids = array(code, [t.id for t in model.tokenize(text.encode().decode("latin-1").translate(chars))]).tobytes()
+        out = known.get(text)
+        if out is None:
+            out = array(code, [ids[r] for r in merge(text.encode() + b"\xff")]).tobytes()
             if len(known) >= limit:
                 known.clear()
-            known[text] = ids
-        return ids
+            known[text] = out
+        return out
 
     def encode(chunks: list[str]) -> list[bytes]:
         return [b"".join(map(part, _LATIN_PARTS(c.lower()))) if _LATIN(c) else whole([c])[0] for c in chunks]
