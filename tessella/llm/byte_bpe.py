@@ -62,7 +62,7 @@ def merge(data: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Transducer:
     """Bytes in, tokens out; see the module's docstring."""
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 80_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], limit: int = 250_000) -> None:
         self.ranks, self.limit = ranks, limit
         self.names = {v: k for k, v in ranks.items()}
         self.children: list[dict[int, int]] = [{}]
@@ -79,7 +79,7 @@ class Transducer:
                 node = nxt
             self.token[node] = rank
         self.whole: dict[int, bool] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.edges: tuple[dict, dict] = ({}, {})
         self._reset()
 
@@ -87,7 +87,8 @@ class Transducer:
         start = (((), -1, 0),)
         self.ids = {start: 0}
         self.states = [start]
-        self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        #: By state and byte: the next state and the tokens emitted.
+        self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
 
     def _whole(self, token: int) -> bool:
         """Whether the merges ever produce ``token``."""
@@ -117,7 +118,7 @@ class Transducer:
         They do unless, at some time in the course of the merges, the parts at the two
         sides of the boundary join each other before either joins its own neighbour.
         """
-        known = self.fits.get((left, right))
+        known = self.fits.get(left << 20 | right)
         if known is None:
             a, b = self._edge(left, True), self._edge(right, False)
             i = j = 0
@@ -136,22 +137,28 @@ class Transducer:
                     j += 1
             if len(self.fits) > 4 * self.limit:
                 self.fits.clear()
-            self.fits[left, right] = known
+            self.fits[left << 20 | right] = known
         return known
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         alive = []
+        children, tokens, fits, committed = self.children, self.token, self.fits, True
         for pending, last, node in self.states[state]:
-            child = self.children[node].get(byte)
+            child = children[node].get(byte)
             if child is None:
                 continue
-            if self.children[child]:
+            if children[child]:
                 alive.append((pending, last, child))
-            token = self.token[child]
-            if token >= 0 and self._whole(token) and (last < 0 or self._fits(last, token)):
+                committed = committed and bool(pending)
+            token = tokens[child]
+            if token >= 0 and self._whole(token):
+                if last >= 0:
+                    known = fits.get(last << 20 | token)
+                    if not (self._fits(last, token) if known is None else known):
+                        continue
                 alive.append(((*pending, token), token, 0))
-        out = ()
-        if all(p for p, _, _ in alive):
+        out: tuple[int, ...] = ()
+        if committed:  # every alternative has tokens to emit; what they share is certain
             first, *others = (p for p, _, _ in alive)
             shared = min(len(first), *map(len, others)) if others else len(first)
             while any(p[:shared] != first[:shared] for p in others):
@@ -162,9 +169,8 @@ class Transducer:
         if target is None:
             target = self.ids[reached] = len(self.states)
             self.states.append(reached)
-            self.steps.append({})
-        self.steps[state][byte] = target, out
-        return target, out
+        hit = self.steps[state << 8 | byte] = target, out
+        return hit
 
     def encode(self, data: bytes) -> list[int]:
         """The tokens of one pre-token."""
@@ -174,9 +180,9 @@ class Transducer:
         if len(self.states) > self.limit:
             self._reset()
         out: list[int] = []
-        state, steps = 0, self.steps
+        state, known = 0, self.steps.get
         for byte in data:
-            hit = steps[state].get(byte)
+            hit = known(state << 8 | byte)
             if hit is None:
                 hit = self._step(state, byte)
             state, emitted = hit
@@ -264,12 +270,22 @@ class ByteBpe:
 
         self.transducer = Transducer(ranks)
         self.split = regex.compile(pattern).findall
-        self.cache = ChunkCache(self._chunks, spaced=True)
+        self.cache = ChunkCache(self._chunks, spaced=True, limit=1_200_000)
+        self.marks: dict[str, bytes] = {}
         self.decoder = StreamDecoder(self.transducer.names)
 
+    def _part(self, part: str) -> bytes:
+        """Ids of one pre-token, which is also a chunk if a space starts it."""
+        known, key = (self.cache.known, part[1:]) if part[0] == " " and len(part) > 1 else (self.marks, part)
+        ids = known.get(key)
+        if ids is None:
+            ids = array("I", self.transducer.encode(part.encode())).tobytes()
+            if len(known) < (self.cache.limit if key is not part else 100_000):
+                known[key] = ids
+        return ids
+
     def _chunks(self, chunks: list[str]) -> list[bytes]:
-        encode, split = self.transducer.encode, self.split
-        return [array("I", [i for part in split(c) for i in encode(part.encode())]).tobytes() for c in chunks]
+        return [b"".join(map(self._part, self.split(c))) for c in chunks]
 
     def encode_bytes(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
