@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.chunks import ChunkCache
+from tessella.llm.resident import resident
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -298,14 +299,9 @@ class ByteBpe:
         return self.decoder.decode(list(ids))
 
 
-_OPEN: dict[tuple[str, str], ByteBpe] = {}
-
-
 def opened(path: str, pattern: str) -> ByteBpe:
     """The coder of a vocabulary file, made once in each worker."""
-    if (path, pattern) not in _OPEN:
-        _OPEN[path, pattern] = ByteBpe(load_ranks(path), pattern)
-    return _OPEN[path, pattern]
+    return resident(("byte_bpe", path, pattern), lambda: ByteBpe(load_ranks(path), pattern))
 
 
 def encode_table(docs: DataFrame, path: str, pattern: str) -> DataFrame:

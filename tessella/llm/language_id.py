@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm.resident import resident
+
 DIMENSIONS = 1024
 ORDER = 3
 UNDETERMINED = "und"
@@ -93,14 +95,9 @@ class Space:
         return total
 
 
-_SPACES: dict[tuple, Space] = {}
-
-
 def space(dimensions: int = DIMENSIONS, order: int = ORDER) -> Space:
     """The vectors, kept in each worker."""
-    if (dimensions, order) not in _SPACES:
-        _SPACES[dimensions, order] = Space(dimensions, order)
-    return _SPACES[dimensions, order]
+    return resident(("language", dimensions, order), lambda: Space(dimensions, order))
 
 
 @dataclass

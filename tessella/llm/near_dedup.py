@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.llm.components import connected_components, forest
+from tessella.llm.resident import release
 from tessella.llm.words import Words, doc_blocks, gram_hashes, mix, text_buffers
 from tessella.runtime import IdFilter, iter_groups, materialize, shuffle_width
 
@@ -87,6 +88,7 @@ def set_key(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         raw, offs = text_buffers(batch.column("text"))
         n = batch.num_rows

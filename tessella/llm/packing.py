@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.chunks import ChunkCache, rank_encoder
+from tessella.llm.resident import release, resident
 from tessella.runtime import materialize
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -140,13 +141,8 @@ def offsets_in(bins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-_OPEN: dict[tuple[str, str], ChunkCache] = {}
-
-
 def opened(path: str, pattern: str) -> ChunkCache:
-    if (path, pattern) not in _OPEN:
-        _OPEN[path, pattern] = ChunkCache(rank_encoder(path, pattern), spaced=True, limit=900_000)
-    return _OPEN[path, pattern]
+    return resident(("packing", path, pattern), lambda: ChunkCache(rank_encoder(path, pattern), spaced=True, limit=900_000))
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[int]:
@@ -181,6 +177,7 @@ def _pack_tasks(round_no: int, capacity: int, last: bool):
     slack = int(capacity * UNDERFULL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
         if table is None or not table.num_rows:
             return

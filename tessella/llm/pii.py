@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm.resident import release
 from tessella.runtime import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -235,6 +236,7 @@ def find_all(docs: DataFrame, *keep: str) -> DataFrame:
     """Base and candidate spans, three integers each, of every text, with vote patterns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         ints = pa.list_(pa.int32())
         for batch in batches:
             rows = []

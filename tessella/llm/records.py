@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.chunks import ChunkCache, word_encoder
+from tessella.llm.resident import resident
 from tessella.runtime import materialize, scratch_path, shuffle_width
 
 VOCABULARY = "word_bpe_49k.json"
@@ -125,13 +126,8 @@ class RecordReader:
                 yield unframe(block, int(self.offsets[i]) - start)[0]
 
 
-_OPEN: dict[str, ChunkCache] = {}
-
-
 def opened(path: str) -> ChunkCache:
-    if path not in _OPEN:
-        _OPEN[path] = ChunkCache(word_encoder(path), spaced=False, limit=700_000)
-    return _OPEN[path]
+    return resident(("records", path), lambda: ChunkCache(word_encoder(path), spaced=False, limit=700_000))
 
 
 def write_records(docs: DataFrame, vocabulary: str, folder: str, end_id: int = END_ID) -> DataFrame:

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm.resident import release
 from tessella.llm.words import Words, doc_blocks, gram_hashes, text_buffers
 from tessella.runtime import IdFilter, materialize, scratch_path, shuffle_width
 
@@ -74,6 +75,7 @@ class _Block:
 
 def _fingerprints(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             raw, offs = text_buffers(batch.column("text"))
             counts, shas, values, sizes = [], [], [np.zeros(0, np.uint64)], []
