@@ -73,6 +73,15 @@ class _Block:
         return np.searchsorted(self.words.bounds, positions, side="right") - 1
 
 
+def _at_most_twice(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Marks pairs so that none is kept more than twice: two tell that a fingerprint recurs."""
+    order = np.lexsort((value, doc))
+    doc, value = doc[order], value[order]
+    keep = np.ones(len(order), dtype=bool)
+    keep[order[2:]] = (doc[2:] != doc[:-2]) | (value[2:] != value[:-2])
+    return keep
+
+
 def _fingerprints(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -82,8 +91,10 @@ def _fingerprints(window: int, gram: int):
             for lo, hi in doc_blocks(offs):
                 block = _Block(raw, offs[lo : hi + 1], window, gram)
                 words, at = block.words, block.selected(window - gram + 1)
-                values.append(block.grams[at])
-                sizes.append(np.bincount(block.documents(at), minlength=hi - lo))
+                doc, own = block.documents(at), block.grams[at]
+                keep = _at_most_twice(doc, own)
+                values.append(own[keep])
+                sizes.append(np.bincount(doc[keep], minlength=hi - lo))
                 counts.append(np.diff(words.bounds))
                 memory = words.data.tobytes()
                 edges = words.offsets.tolist()
@@ -177,8 +188,12 @@ class FingerprintIndex:
         return self.read().groupBy("fp").count().where("count > 1").select("fp")
 
     def hits(self, *paths: str) -> DataFrame:
-        """Texts with the shared fingerprints they hold, by a merge join with the runs."""
-        return self.read(*paths).join(self.shared().hint("merge"), "fp", "left_semi").groupBy("t1", "t2").agg(F.collect_set("fp").alias("hits"))
+        """Texts with the shared fingerprints they hold, by a merge join with the runs.
+
+        The shared fingerprints are a table of their own, so that a very common one's rows
+        can be split over several tasks.
+        """
+        return self.read(*paths).join(materialize(self.shared(), "shared").hint("merge"), "fp", "left_semi").groupBy("t1", "t2").agg(F.collect_set("fp").alias("hits"))
 
     def compact(self) -> None:
         """Merge all runs into one."""
