@@ -73,6 +73,16 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), cores(spark))
 
 
+def byte_width(df: DataFrame, per_task: int) -> int:
+    """How many tasks of about ``per_task`` input bytes ``df`` makes by the planner's estimate,
+    two for each core at least; twice the shuffle's width where there is no estimate."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:
+        return 2 * shuffle_width(spark)
+    return max(2 * cores(spark), -(-size // per_task))
+
+
 class IdFilter:
     """A fixed-size bitmap of hashed keys: a semi-join reducer with no false negatives.
 
