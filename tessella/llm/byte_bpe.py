@@ -271,18 +271,18 @@ class ByteBpe:
 
         self.transducer = Transducer(ranks)
         self.split = regex.compile(pattern).findall
-        self.cache = ChunkCache(self._chunks, spaced=True, limit=1_200_000)
+        self.cache = ChunkCache(self._chunks, limit=600_000)
         self.marks: dict[str, bytes] = {}
         self.decoder = StreamDecoder(self.transducer.names)
 
     def _part(self, part: str) -> bytes:
         """Ids of one pre-token, which is also a chunk if a space starts it."""
-        known, key = (self.cache.known, part[1:]) if part[0] == " " and len(part) > 1 else (self.marks, part)
-        ids = known.get(key)
+        known, limit = (self.cache.known, self.cache.limit) if part[0] == " " else (self.marks, 100_000)
+        ids = known.get(part)
         if ids is None:
             ids = array("I", self.transducer.encode(part.encode())).tobytes()
-            if len(known) < (self.cache.limit if key is not part else 100_000):
-                known[key] = ids
+            if len(known) < limit:
+                known[part] = ids
         return ids
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
@@ -321,17 +321,16 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = opened(path, pattern)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                blobs = coder.encode_bytes(batch.column("text").to_pylist())
-                texts = [coder.decode(np.frombuffer(b, dtype="<u4").tolist()) for b in blobs]
+        for batch in batches:
+            for first, ids, bounds in coder.cache.texts(batch.column("text")):
+                edges = bounds.tolist()
+                own = [ids[a:b] for a, b in zip(edges, edges[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id"),
-                        pa.array([len(b) // 4 for b in blobs], pa.int64()),
-                        pa.array([hashlib.sha256(b).hexdigest() for b in blobs], pa.string()),
-                        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()),
+                        batch.column("doc_id").slice(first, len(own)),
+                        pa.array(np.diff(bounds), pa.int64()),
+                        pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in own], pa.string()),
+                        pa.array([hashlib.sha256(coder.decode(x.tolist()).encode()).hexdigest() for x in own], pa.string()),
                     ],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )

@@ -142,7 +142,7 @@ def offsets_in(bins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def opened(path: str, pattern: str) -> ChunkCache:
-    return resident(("packing", path, pattern), lambda: ChunkCache(rank_encoder(path, pattern), spaced=True, limit=900_000))
+    return resident(("packing", path, pattern), lambda: ChunkCache(rank_encoder(path, pattern), limit=600_000))
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[int]:
@@ -157,14 +157,15 @@ def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, e
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = opened(path, pattern)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+        for batch in batches:
+            doc_ids = batch.column("doc_id").to_pylist()
+            for first, ids, bounds in cache.texts(batch.column("text")):
                 rows: list[tuple] = []
-                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), cache.encode(batch.column("text").to_pylist())):
-                    ids += end
-                    edges = cut(len(ids) // 4, capacity)
-                    rows += [(doc_id, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
+                bounds = bounds.tolist()
+                for doc_id, lo, hi in zip(doc_ids[first:], bounds, bounds[1:]):
+                    own = ids[lo:hi].tobytes() + end
+                    edges = cut(hi - lo + 1, capacity)
+                    rows += [(doc_id, k, a, b - a, zlib.crc32(own[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, pa.int32() if k == 1 else pa.int64()) for k, c in enumerate(columns)], ["doc_id", "piece", "start", "length", "ids_crc32"]

@@ -32,10 +32,14 @@ from pyspark.sql import functions as F
 
 from tessella.llm.chunks import ChunkCache, word_encoder
 from tessella.llm.resident import resident
-from tessella.runtime import materialize, scratch_path, shuffle_width
+from tessella.runtime import byte_width, materialize, scratch_path
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
+#: Input bytes of a data file, and rows of a batch that is read back.
+FILE_BYTES = 1 << 26
+READ_ROWS = 8192
+READ_BYTES = 1 << 22
 MANIFEST = "part int, path string, n_records long, n_tokens long"
 
 
@@ -117,23 +121,27 @@ class RecordReader:
         return unframe(self.file.read(to - at), 0)[0]
 
     def __iter__(self) -> Iterator[bytes]:
-        for lo in range(0, len(self), 1024):  # a block of records at a time
-            hi = min(lo + 1024, len(self))
+        lo = 0
+        while lo < len(self):  # a block of records at a time: READ_BYTES, or a single longer one
             start = int(self.offsets[lo])
+            hi = max(lo + 1, int(np.searchsorted(self.offsets, start + READ_BYTES, side="right")) - 1)
+            hi = len(self) if self.size <= start + READ_BYTES else hi
             self.file.seek(start)
             block = self.file.read((int(self.offsets[hi]) if hi < len(self) else self.size) - start)
             for i in range(lo, hi):
                 yield unframe(block, int(self.offsets[i]) - start)[0]
+            lo = hi
 
 
 def opened(path: str) -> ChunkCache:
-    return resident(("records", path), lambda: ChunkCache(word_encoder(path), spaced=False, limit=700_000))
+    return resident(("records", path), lambda: ChunkCache(word_encoder(path), "<u2", limit=600_000))
 
 
 def write_records(docs: DataFrame, vocabulary: str, folder: str, end_id: int = END_ID) -> DataFrame:
     """Encode and write ``docs(doc_id, text)`` under ``folder``; returns the manifest.
 
-    ``part`` numbers the files in the order of their ids.
+    ``part`` numbers the files in the order of their ids. A file holds about ``FILE_BYTES``
+    of input.
     """
     end = struct.pack("<H", end_id)
 
@@ -141,28 +149,28 @@ def write_records(docs: DataFrame, vocabulary: str, folder: str, end_id: int = E
         cache, writer, records, tokens = opened(vocabulary), None, 0, 0
         part = TaskContext.get().partitionId()
         path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.rec"
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                writer = writer or RecordWriter(path)
-                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), cache.encode(batch.column("text").to_pylist())):
-                    writer.write(pack_record(doc_id, ids + end))
-                    records += 1
-                    tokens += len(ids) // 2 + 1
+        for batch in batches:
+            writer = writer or RecordWriter(path)
+            doc_ids = batch.column("doc_id").to_pylist()
+            for first, ids, bounds in cache.texts(batch.column("text")):
+                edges = bounds.tolist()
+                for doc_id, a, b in zip(doc_ids[first:], edges, edges[1:]):
+                    writer.write(pack_record(doc_id, ids[a:b].tobytes() + end))
+                records += len(edges) - 1
+                tokens += len(ids) + len(edges) - 1
         if writer:
             writer.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [path], "n_records": pa.array([records], pa.int64()), "n_tokens": pa.array([tokens], pa.int64())})
 
-    width = 2 * shuffle_width(docs.sparkSession)
     rows = docs.select("doc_id", "text").withColumn("h", F.xxhash64("text"))
-    dealt = rows.repartitionByRange(width, "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
+    dealt = rows.repartitionByRange(byte_width(docs, FILE_BYTES), "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
     return materialize(dealt.mapInArrow(run, MANIFEST), "manifest")
 
 
 def read_records(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of all records, read back from the files.
 
-    The manifest has one row for each file, whose number the partitions bound.
+    The manifest has one row for each file of ``FILE_BYTES`` of input.
     """
     files, total = [], 0
     for f in sorted(manifest.collect(), key=lambda f: f.part):
@@ -170,17 +178,21 @@ def read_records(spark: SparkSession, manifest: DataFrame) -> DataFrame:
         total += f.n_tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
         for batch in batches:
             for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist()):
-                ids, starts, counts, crcs = [], [], [], []
+                rows: list[tuple] = []
                 for payload in RecordReader(path):
                     doc_id, tokens = unpack_record(payload)
-                    ids.append(doc_id)
-                    starts.append(start)
-                    counts.append(len(tokens))
-                    crcs.append(zlib.crc32(tokens.astype("<u4").tobytes()))
+                    rows.append((doc_id, start, len(tokens), zlib.crc32(tokens.astype("<u4").tobytes())))
                     start += len(tokens)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, starts, counts, crcs)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    if len(rows) == READ_ROWS:
+                        yield batch_of(rows)
+                        rows = []
+                if rows:
+                    yield batch_of(rows)
 
     rows = spark.createDataFrame(files, "path string, start long").repartition(max(1, len(files)))
     return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

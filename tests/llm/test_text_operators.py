@@ -331,3 +331,27 @@ def test_maximal_segments_against_brute_force():
 
         got = toxicity.maximal_segments(s)
         assert sorted(round(v, 6) for *_, v in got) == sorted(round(float(s[a:b].sum()), 6) for a, b in brute(0, len(s)))
+
+
+@pytest.mark.parametrize("which", ["byte", "byte_multi", "word"])
+def test_chunks_of_odd_white_space(which):
+    """Cutting at single spaces and newlines never changes the ids, whatever is beside them."""
+    from tessella.llm import chunks
+
+    rng = np.random.default_rng(12)
+    alphabet = list("ab,'s1é漢 \n\n  \t\x0b\x1c\x85\xa0  　«“") + ["word", " the", "\r\n"]
+    texts = ["".join(rng.choice(alphabet, size=rng.integers(0, 14))) for _ in range(1500)] + [" ", "\n", "a b " * 5000]
+    if which == "byte_multi":
+        path = public_tokenizers.path(byte_bpe.VOCABULARY)
+        encode = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(path), special_tokens={}).encode_ordinary
+        cache, dtype = byte_bpe.opened(path, public_tokenizers.PATTERN).cache, "<u4"
+    else:
+        path = public_tokenizers.path(packing.VOCABULARY if which == "byte" else records.VOCABULARY)
+        own = Tokenizer.from_file(path)
+        own.encode_special_tokens = True
+        encode = lambda t: own.encode(t, add_special_tokens=False).ids
+        cache, dtype = (packing.opened(path, public_tokenizers.PATTERN), "<u4") if which == "byte" else (records.opened(path), "<u2")
+    for text, blob in zip(texts, cache.encode(texts)):
+        assert np.frombuffer(blob, dtype).tolist() == encode(text), repr(text)
+    small = chunks.ChunkCache(cache.encode_chunks, dtype, limit=10)  # emptied all the time
+    assert small.encode(texts[:200]) == cache.encode(texts[:200]) and len(small.known) <= 10
