@@ -176,28 +176,67 @@ def test_packing(spark, docs, none):
     assert packing.best_fit_pack(none, path, pattern).count() == 0
 
 
+def packed(spark, lengths, parts=7):
+    """The bins of a table of these lengths, checked for gaps."""
+    rows = [(i, 0, 0, int(n), 0) for i, n in enumerate(lengths)]
+    out = packing.pack_table(spark.createDataFrame(rows, packing.PIECES).repartition(parts)).collect()
+    assert sorted((r.doc_id, r.length) for r in out) == [(i, n) for i, _, _, n, _ in rows]
+    bins = collections.defaultdict(list)
+    for r in out:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for held in bins.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    return len(bins)
+
+
 def test_packing_in_several_tasks(spark):
     rng = np.random.default_rng(3)
-    rows = [(i, 0, 0, int(n), 0) for i, n in enumerate(rng.integers(1, 2048, 4000))]
-    out = packing.pack_table(spark.createDataFrame(rows, packing.PIECES), chunk=700).collect()
-    bins = collections.Counter()
-    for r in out:
-        bins[r.sequence_id] += r.length
-    assert len(out) == 4000 and max(bins.values()) <= 2048
-    assert len(bins) <= 1.02 * -(-sum(bins.values()) // 2048)
+    lengths = rng.integers(1, 2048, 4000)
+    assert packed(spark, lengths) <= 1.02 * -(-int(lengths.sum()) // 2048)
+    assert packed(spark, [1100] * 3000) == 3000  # every bin stays underfull
+    assert packed(spark, [1100, 948] * 500 + [2048] * 300) == 800
+
+
+def plain_best_fit(lengths, capacity):
+    free = []
+    for n in sorted(lengths, reverse=True):
+        fits = [k for k, room in enumerate(free) if room >= n]
+        if fits:
+            free[min(fits, key=lambda k: free[k])] -= n
+        else:
+            free.append(capacity - n)
+    return collections.Counter(free)
+
+
+def test_best_fit_of_classes_equals_best_fit_of_pieces():
+    rng = np.random.default_rng(4)
+    for high, n in ((30, 300), (90, 200), (100, 120)):
+        lengths = rng.integers(1, high, n).tolist()
+        bins = packing.best_fit(collections.Counter(lengths), 100)
+        free = collections.Counter()
+        for pattern, m in bins.items():
+            free[100 - packing.fill_of(pattern)] += m
+        assert free == plain_best_fit(lengths, 100)
 
 
 def test_local_search_reaches_the_bound():
     rng = np.random.default_rng(4)
-    lengths = rng.integers(1, 700, 3000)
-    first = packing.best_fit(lengths, 2048)
-    better = packing.local_search(lengths, first, 2048)
-    fill = np.bincount(better, weights=lengths)
-    assert fill.max() <= 2048 and (fill > 0).sum() <= len(np.unique(first))
-    # an arrangement that best fit can't better, but an exchange can
-    lengths = np.array([6, 4, 5, 5, 3, 7])
-    worse = np.array([0, 1, 1, 2, 2, 3])
-    assert len(np.unique(packing.local_search(lengths, worse, 10))) == 3
+    lengths = rng.integers(1, 700, 3000).tolist()
+    first = packing.best_fit(collections.Counter(lengths), 2048)
+    better = packing.local_search(first, 2048)
+    held = collections.Counter()
+    for pattern, m in better.items():
+        assert packing.fill_of(pattern) <= 2048
+        for length, n in pattern:
+            held[length] += n * m
+    assert held == collections.Counter(lengths) and sum(better.values()) <= sum(first.values())
+    # arrangements that best fit can't better, but an exchange can, for many bins at once
+    worse = collections.Counter({((6, 1),): 5, ((5, 1), (4, 1)): 5, ((5, 1), (3, 1)): 5, ((7, 1),): 5})
+    assert sum(packing.local_search(worse, 10).values()) == 15
 
 
 def test_records(spark, docs, none):
