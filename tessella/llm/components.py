@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.runtime import materialize
+from tessella.runtime import discard, hot_join, materialize
 
 SCHEMA = "a long, b long"
 
@@ -58,21 +58,25 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``edges(a, b)`` that is not its own root.
 
     Edges shrink to local forests inside each task, then large-star and small-star rounds
-    alternate until nothing changes; each round is a table in the shared folder. ``root``
-    is the smallest node of the component. A node without a row is its own root.
+    alternate until nothing changes; each round is a table in the shared folder, and nodes of
+    very many edges meet their neighbours where these lie. ``root`` is the smallest node of
+    the component. A node without a row is its own root.
     """
     stars = materialize(edges.select("a", "b").where("a <> b").mapInArrow(_local, SCHEMA), "cc")
     before = None
     while True:
+        old = stars
         both = stars.select("a", "b").unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: link larger neighbours to the smallest of the neighbourhood
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b")
+        low = materialize(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"), "low")
+        large = hot_join(both, low, ["a"], "n").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b")
+        large = materialize(large, "large")
         # small star: link smaller neighbours and the node itself to the smallest
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").select(F.col("m").alias("a"), "b").unionByName(low.select(F.col("m").alias("a"), F.col("a").alias("b")))
+        least = materialize(down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "low")
+        small = hot_join(down, least, ["a"], "n").select(F.col("m").alias("a"), "b").unionByName(least.select(F.col("m").alias("a"), F.col("a").alias("b")))
         stars = materialize(small.where("a <> b").distinct(), "cc")
+        discard(old, low, large, least)
         state = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 31)), F.sum(F.xxhash64("b", "a") % (1 << 31))).first()
         if state == before:
             return stars.select(F.col("b").alias("node"), F.col("a").alias("root"))

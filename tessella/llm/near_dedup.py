@@ -4,16 +4,21 @@
    MinHash coordinates. Equal sets are one node from here on.
 2. Nodes are posted under their coordinate-value pairs. Two sets of similarity 0.85 agree
    in about 82 of 96 coordinates and in fewer than ``MATCHES`` = 64 with a probability of
-   about 1e-6. *Prefix*: of the pairs that agree in 64 coordinates, each has one among its
+   about 1e-6. Sets are sets of 64-bit hashes of shingles. *Prefix*: of the pairs that agree in 64 coordinates, each has one among its
    ``COORDS - MATCHES + 1`` rarest. *Skip*: values that no other node holds are never
    posted, and nodes with fewer than ``MATCHES`` shared values drop out altogether.
-3. Within a posting list, agreeing coordinates are counted on byte sketches of the
-   signatures, and a spanning forest of the pairs at or above the threshold is kept. Long
-   lists are dealt out as pairs of blocks.
+3. The nodes of a posting list bring their signatures and are posted again, under all
+   coordinate-value pairs, within the task. A node's collisions are counted by merging its
+   own lists: only the ``COORDS - MATCHES + 1`` shortest are merged, whoever is in none of
+   them is skipped, and the longer lists are probed for the nodes met, fewer after each few
+   lists, as those that can no longer reach ``MATCHES`` are skipped. A spanning forest of the
+   pairs at or above the threshold is kept. Long lists are dealt out as pairs of blocks.
 4. The components of these forests are clusters; all pairs of a cluster are confirmed on
    the full shingle sets, again in pairs of blocks by matrix products, and again only a
    spanning forest of the confirmed links leaves a task. No pair is ever emitted for a
-   group of copies beyond what connects it, and no link between different sets is lost.
+   group of copies beyond what connects it. A link is only lost if its sets agree in fewer
+   than ``matches`` coordinates, a parameter: 64 of 96 lose a pair at the threshold with a
+   probability of about 1e-6, 48 with less than 1e-13, at more candidates to confirm.
 5. The components of the confirmed links are the near-duplicate groups.
 
 Defined results: null and wordless texts are empty sets, linked with nothing. Texts of one
@@ -34,8 +39,8 @@ from pyspark.sql.window import Window
 
 from tessella.llm.components import connected_components, forest
 from tessella.llm.resident import release
-from tessella.llm.words import Words, doc_blocks, gram_hashes, mix, text_buffers
-from tessella.runtime import IdFilter, iter_groups, materialize, shuffle_width
+from tessella.llm.words import Words, doc_blocks, gram_hashes, mix, text_buffers, text_key
+from tessella.runtime import IdFilter, discard, hot_join, iter_groups, materialize, shuffle_width
 
 SHINGLE = 5
 COORDS = 96
@@ -100,7 +105,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 k1[i], k2[i] = set_key(own)
                 sigs[i] = signature(own)
         rows = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * COORDS, pa.int32()), pa.array(sigs.ravel().view(np.int32)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(k1), pa.array(k2), rows], ["doc_id", "n", "k1", "k2", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t1"), batch.column("t2"), pa.array(sizes), pa.array(k1), pa.array(k2), rows], ["doc_id", "t1", "t2", "n", "k1", "k2", "sig"])
 
 
 def _codes(nodes: DataFrame, coords: int) -> DataFrame:
@@ -139,8 +144,50 @@ def _gather(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def matching_forest(nodes: np.ndarray, sketches: np.ndarray, matches: int = MATCHES) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what pairs with ``matches`` agreeing coordinates connect."""
+class PostingLists:
+    """The nodes of one block, posted under every coordinate-value pair."""
+
+    def __init__(self, sigs: np.ndarray) -> None:
+        n = len(sigs)
+        self.sigs = sigs
+        self.order = np.argsort(sigs, axis=0, kind="stable").T.copy()
+        values = np.take_along_axis(sigs.T, self.order, axis=1)
+        new = np.ones(values.shape, dtype=bool)
+        new[:, 1:] = values[:, 1:] != values[:, :-1]
+        start = np.maximum.accumulate(np.where(new, np.arange(n), 0), axis=1)
+        last = np.ones(values.shape, dtype=bool)
+        last[:, :-1] = new[:, 1:]
+        end = n - np.maximum.accumulate(np.where(last, n - 1 - np.arange(n), 0)[:, ::-1], axis=1)[:, ::-1]
+        #: Where the list of each node's value starts and ends, by coordinate and node.
+        self.lo, self.hi = np.empty_like(start), np.empty_like(end)
+        np.put_along_axis(self.lo, self.order, start, axis=1)
+        np.put_along_axis(self.hi, self.order, end, axis=1)
+
+    def matches(self, at: int, left: np.ndarray, least: int) -> np.ndarray:
+        """The nodes of ``left`` that collide with ``at`` in ``least`` coordinates or more."""
+        lo, hi = self.lo[:, at], self.hi[:, at]
+        by_length = np.argsort(hi - lo, kind="stable")
+        merged = len(by_length) - least + 1
+        met = np.concatenate([self.order[c, lo[c] : hi[c]] for c in by_length[:merged].tolist()])
+        count = np.bincount(met, minlength=len(left))
+        some = np.flatnonzero((count > 0) & left)
+        count = count[some]
+        for k in range(merged, len(by_length), 16):  # the long lists are probed, not merged
+            enough = count + (len(by_length) - k) >= least
+            some, count = some[enough], count[enough]
+            if not len(some):
+                break
+            probe = by_length[k : k + 16]
+            count = count + (self.sigs[some[:, None], probe] == self.sigs[at, probe]).sum(axis=1)
+        return some[count >= least]
+
+
+def matching_forest(nodes: np.ndarray, sigs: np.ndarray, matches: int = MATCHES) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what pairs with ``matches`` colliding coordinates connect."""
+    none = np.zeros(0, np.int64)
+    if len(nodes) == 2:
+        return (nodes[:1], nodes[1:]) if (sigs[0] == sigs[1]).sum() >= matches else (none, none)
+    lists = PostingLists(sigs)
     left = np.ones(len(nodes), dtype=bool)
     a, b = [], []
     for start in range(len(nodes)):
@@ -148,30 +195,28 @@ def matching_forest(nodes: np.ndarray, sketches: np.ndarray, matches: int = MATC
             continue
         left[start] = False
         stack = [start]
-        while stack:
+        while stack and left.any():
             at = stack.pop()
-            rest = np.flatnonzero(left)
-            if not len(rest):
-                break
-            found = rest[(sketches[rest] == sketches[at]).sum(axis=1) >= matches]
+            found = lists.matches(at, left, matches)
             if len(found):
                 left[found] = False
                 stack.extend(found.tolist())
                 a.append(np.full(len(found), nodes[at]))
                 b.append(nodes[found])
-    none = np.zeros(0, np.int64)
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
-def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for group in iter_groups(batches, ["code", "i", "j"]):
-            if group.num_rows > 1:
-                nodes = group.column("node").to_numpy()
-                sketches = np.frombuffer(b"".join(group.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(nodes), COORDS)
-                yield matching_forest(nodes, sketches)
+def _match(matches: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for group in iter_groups(batches, ["code", "i", "j"]):
+                if group.num_rows > 1:
+                    sigs = group.column("sig").combine_chunks().flatten().to_numpy().reshape(group.num_rows, COORDS)
+                    yield matching_forest(group.column("node").to_numpy(), sigs, matches)
+
+        return _gather(pairs())
 
-    return _gather(pairs())
+    return run
 
 
 def confirmed_forest(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -224,37 +269,43 @@ def _confirm(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``."""
+def near_duplicates(docs: DataFrame, percent: int = 85, matches: int = MATCHES) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``.
+
+    ``t1`` and ``t2`` name the row's text, ``group`` its component, by a number that is null
+    for empty sets.
+    """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text")
-    sketched = materialize(rows.mapInArrow(_sketch, "doc_id long, n long, k1 long, k2 long, sig array<int>"), "signatures")
-    sets = sketched.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), F.first("sig").alias("sig"))
+    sketched = docs.select("doc_id", "text", *text_key()).mapInArrow(_sketch, "doc_id long, t1 long, t2 long, n long, k1 long, k2 long, sig array<int>")
+    sketched = materialize(sketched, "signatures")
+    sets = sketched.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
     sets = materialize(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
 
-    # skip: whoever agrees with another in MATCHES coordinates does so in one of the first few
-    lead = _codes(sets, COORDS - MATCHES + 1)
-    shared = lead.groupBy("code").count().where("count > 1").select("code")
-    able = lead.join(shared, "code", "left_semi").select("node").distinct()
-    sketch = F.concat(*[F.unhex(F.lpad(F.hex(F.col("sig")[c].bitwiseAND(F.lit(255))), 2, "0")) for c in range(COORDS)])
-    nodes = materialize(sets.join(able, "node", "left_semi"), "able")
+    # skip: whoever agrees with another in so many coordinates does so in one of the first few
+    lead = _codes(sets, COORDS - matches + 1)
+    shared = materialize(lead.groupBy("code").count().where("count > 1"), "shared")
+    able = hot_join(lead, shared, ["code"], "count").select("node").distinct()
+    nodes = materialize(sets.select("node", "sig").join(able, "node", "left_semi"), "able")
     codes = _codes(nodes, COORDS)
-    counts = codes.groupBy("code").count().where("count > 1")
+    counts = materialize(codes.groupBy("code").count().where("count > 1"), "counts")
     own = Window.partitionBy("node")
     prefix = (
-        codes.join(counts, "code")
+        hot_join(codes, counts, ["code"], "count")
         .withColumn("held", F.count("*").over(own))
-        .where(F.col("held") >= MATCHES)
+        .where(F.col("held") >= matches)
         .withColumn("r", F.row_number().over(own.orderBy("count", "code")))
-        .where(F.col("r") <= F.col("held") - MATCHES + 1)
+        .where(F.col("r") <= F.col("held") - matches + 1)
     )
-    prefix = materialize(prefix.select("node", "code", "count"), "prefix")
-    lists = prefix.groupBy("code").agg(F.count("*").alias("size")).where("size > 1")
-    posted = prefix.drop("count").join(lists, "code").join(nodes.select("node", sketch.alias("sketch")), "node")
+    prefix = materialize(prefix.select("node", "code"), "prefix")
+    discard(shared, counts)
+    lists = materialize(prefix.groupBy("code").agg(F.count("*").alias("size")).where("size > 1"), "lists")
+    posted = hot_join(prefix, lists, ["code"], "size").join(nodes, "node")
     width = 3 * shuffle_width(spark)
-    matched = _dealt(_blocks(posted, "code", "size", POSTING_BLOCK), width, "code", "i", "j").select("code", "i", "j", "node", "sketch").mapInArrow(_match, "a long, b long")
+    matched = _dealt(_blocks(posted, "code", "size", POSTING_BLOCK), width, "code", "i", "j").select("code", "i", "j", "node", "sig").mapInArrow(_match(matches), "a long, b long")
 
-    roots = connected_components(matched)
+    roots = materialize(connected_components(matched), "roots")
+    discard(prefix, lists, nodes)
     members = roots.select("node", F.col("root").alias("cluster")).unionByName(roots.select(F.col("root").alias("node"), F.col("root").alias("cluster")).distinct())
     members = materialize(members.join(sets.select("node", "k1", "k2", "first_id"), "node"), "members")
     wanted = IdFilter(members, "first_id")
@@ -271,19 +322,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
             )
 
     full = rows.withColumn("h", wanted.key("doc_id")).mapInArrow(sets_of, "first_id long, k1 long, k2 long, shingles binary")
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
+    sizes = materialize(members.groupBy("cluster").agg(F.count("*").alias("size")), "sizes")
     held = members.join(full, (members.first_id.eqNullSafe(full.first_id)) & (members.k1 == full.k1) & (members.k2 == full.k2))
-    held = materialize(held.select("node", "cluster", "shingles").dropDuplicates(["node"]).join(sizes, "cluster"), "cluster-sets")
-    linked = _dealt(_blocks(held, "cluster", "size", SET_BLOCK), width, "cluster", "i", "j").select("cluster", "i", "j", "node", "shingles").mapInArrow(_confirm(percent), "a long, b long")
+    held = materialize(held.select("node", "cluster", "shingles").dropDuplicates(["node"]), "cluster-sets")
+    held_ = hot_join(held, sizes, ["cluster"], "size")
+    linked = _dealt(_blocks(held_, "cluster", "size", SET_BLOCK), width, "cluster", "i", "j").select("cluster", "i", "j", "node", "shingles").mapInArrow(_confirm(percent), "a long, b long")
 
     parts = connected_components(linked)
-    named = sets.select("node", "k1", "k2", "first_id").join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = named.join(smallest, "root").select("k1", "k2", "component_id")
-    out = sketched.drop("sig").join(named, ["k1", "k2"], "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = sets.select("node", "k1", "k2", "first_id", "copies").join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = materialize(named.select("k1", "k2", "first_id", "copies", "root"), "named")
+    discard(roots, members, held, sizes)
+    smallest = materialize(named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("sets")), "smallest")
+    named = materialize(hot_join(named.drop("first_id"), smallest, ["root"], "sets").select("k1", "k2", "copies", "root", "component_id"), "components")
+    columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "t1", "t2", F.col("root").alias("group")]
+    sketched = sketched.drop("sig")
+    empty = sketched.where("n = 0").withColumns({"component_id": F.col("doc_id"), "root": F.lit(None).cast("long")})
+    return hot_join(sketched.where("n > 0"), named, ["k1", "k2"], "copies").select(*columns).unionByName(empty.select(*columns))
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")

@@ -15,6 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 _RNG = np.random.default_rng(0x5EED_2024)
@@ -156,3 +158,9 @@ def gram_hashes(words: np.ndarray, size: int, which: int = 0) -> np.ndarray:
     sums[0] = 0
     np.cumsum(words * up[which][: len(words)], out=sums[1:])
     return mix((sums[size:] - sums[:-size]) * down[which][:n])
+
+
+def text_key(col: str = "text") -> list[Column]:
+    """Two independent 64-bit hashes of a text, in the JVM; null counts as empty."""
+    text = F.coalesce(F.col(col), F.lit(""))
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text, F.length(text)).alias("t2")]

@@ -29,6 +29,16 @@ def test_stages_have_their_effects(spark):
     assert used <= 2048
 
 
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    a, b, z = (" ".join(f"{k}{i}" for i in range(30)) for k in "abz")
+    rows = [(3, b), (5, a), (5, b), (None, b), (None, z), (5, a), (None, z), (7, ""), (7, ""), (None, None), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, t1 int")
+    kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, DATA).collect()), key=repr)
+    assert kept == sorted([(3, b), (5, a), (None, z), (7, ""), (None, None), (8, None)], key=repr)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+
+
 def test_run_equals_the_stages(spark):
     out = corpus_pipeline.run(spark, DATA)
     assert out.count() > 0 and out.where("offset + length > 2048").count() == 0

@@ -90,6 +90,17 @@ def test_near_duplicates_of_a_dense_group(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(label))
 
 
+def test_merging_lists_counts_collisions():
+    """Prefix merging with skips finds what counting every pair's coordinates finds."""
+    rng = np.random.default_rng(3)
+    sigs = rng.integers(0, 3, (60, near_dedup.COORDS)).astype(np.int32)
+    sigs[20:40] = np.where(rng.random((20, near_dedup.COORDS)) < 0.75, sigs[0], sigs[20:40])
+    lists, everyone = near_dedup.PostingLists(sigs), np.ones(60, dtype=bool)
+    for least in (20, 34, 64, 96):
+        for at in range(60):
+            assert lists.matches(at, everyone, least).tolist() == np.flatnonzero((sigs == sigs[at]).sum(axis=1) >= least).tolist()
+
+
 def test_blocks_of_a_large_cluster():
     """Pairs of blocks and one block agree."""
     rng = np.random.default_rng(1)
@@ -101,6 +112,26 @@ def test_blocks_of_a_large_cluster():
     assert sorted(zip(a, b)) == sorted(zip(x, y))
 
 
+def test_fingerprint_index_is_incremental(spark):
+    """A batch returns what it shares with the history and with itself, and nothing twice."""
+    index = substring_dedup.FingerprintIndex(spark, fan_in=2)
+
+    def add(*rows):
+        return {(r.text, r.fp) for r in index.add(spark.createDataFrame(rows, "text long, fps array<long>")).collect()}
+
+    assert add((1, [10, 11, 12]), (2, [12, 13]), (3, [])) == {(1, 12), (2, 12)}
+    assert add((4, [20, 20]), (5, [10])) == {(4, 20), (1, 10), (5, 10)}
+    assert add((6, [10, 30])) == {(6, 10)}  # texts 1 and 5 were returned with it before
+    assert len(index.runs) == 3
+    assert add((7, [11, 12, 20, 40])) == {(1, 11), (7, 11), (7, 12), (7, 20)}
+    assert len(index.runs) == 2 and spark.table(list(index.runs)[0]).count() == 6  # compacted: a row for each fingerprint
+    assert add((8, [40, 13, 50])) == {(7, 40), (8, 40), (2, 13), (8, 13)}
+    first, second, *_ = index.runs
+    plan = spark.table(first).join(spark.table(second).hint("merge"), "fp", "left_semi")
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+    index.close()
+
+
 @pytest.mark.parametrize("parts", [1, 3])
 def test_substring_dedup(spark, docs, none, parts):
     rows = texts()
@@ -118,7 +149,7 @@ def test_substring_dedup(spark, docs, none, parts):
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
         want[(r[0], len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())] += 1
     batches = [docs] if parts == 1 else docs.randomSplit([1.0] * parts, seed=4)
-    got = substring_dedup.substring_dedup(batches).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    got = substring_dedup.substring_dedup(batches, deal=1 if parts > 1 else 4).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
     assert collections.Counter(tuple(r) for r in got) == want
     assert substring_dedup.substring_dedup([none]).count() == 0
 
