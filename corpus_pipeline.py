@@ -2,8 +2,8 @@
 
 1. ``language_id``: the language of every text is predicted and becomes its ``lang``;
    documents without any (``und``) go.
-2. ``near_dedup``: one document of each near-duplicate group stays, that of the smallest id;
-   of rows that repeat an id and a text, one.
+2. ``near_dedup``: one row of each near-duplicate group stays, that of the smallest id (null
+   only if all ids are); of rows without a word, one for each id and text.
 3. ``substring_dedup``: words that repeated windows cover are cut out; documents of which
    nothing is left go. ``n_chars`` follows the text.
 4. ``pii``: personal data is replaced by its kind in brackets; ``n_chars`` follows.
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import language_id, near_dedup, packing, pii, substring_dedup
+from tessella.llm.words import text_key
 from tessella.runtime import materialize, ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -36,17 +37,21 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = docs.select(*COLUMNS)
-    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")
-    keyed = rows.select("*", *substring_dedup.text_key())
-    return keyed.dropDuplicates(["doc_id", "t1", "t2"]).select(*COLUMNS)
+    found = near_dedup.near_duplicates(docs)
+    # the row of a group that stays: of its smallest id, null only if all are null, then by text
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "t1", "t2"))
+    kept = found.where("group is not null").groupBy("group").agg(best.alias("k")).select("k.*")
+    bare = found.where("group is null").select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "t1", "t2")
+    kept = materialize(kept.unionByName(bare).distinct(), "kept")
+    rows = docs.select("*", F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), *text_key())
+    return rows.join(kept, ["none", "id", "t1", "t2"], "left_semi").dropDuplicates(["none", "id", "t1", "t2"]).select(*COLUMNS)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = docs.select(*COLUMNS)
-    changed = substring_dedup.substring_dedup([docs]).where("n_removed > 0").select("t1", "t2", "kept_text").dropDuplicates(["t1", "t2"])
-    rows = docs.select("*", *substring_dedup.text_key()).join(materialize(changed, "changed"), ["t1", "t2"], "left")
+    changed = substring_dedup.substring_dedup([docs], deal=substring_dedup.BATCHES).where("n_removed > 0").select("t1", "t2", "kept_text").dropDuplicates(["t1", "t2"])
+    rows = docs.select("*", *text_key()).join(materialize(changed, "changed"), ["t1", "t2"], "left")
     text = F.coalesce("kept_text", "text")
     cut = rows.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")).alias("n_chars"))
     return cut.where("text <> ''")
