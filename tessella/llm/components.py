@@ -9,9 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.runtime import discard, hot_join, materialize
+from tessella.runtime import cores, discard, materialize
 
 SCHEMA = "a long, b long"
+#: A node of more than one in so many edge ends is joined where its edges lie.
+SHARE = 1000
+#: Edge ends of one task.
+EDGES = 500_000
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,20 +67,29 @@ def connected_components(edges: DataFrame) -> DataFrame:
     the component. A node without a row is its own root.
     """
     stars = materialize(edges.select("a", "b").where("a <> b").mapInArrow(_local, SCHEMA), "cc")
-    before = None
+    before = (stars.count(), 0, 0)
     while True:
-        old = stars
-        both = stars.select("a", "b").unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # dealt by the first node once, over as many tasks as there are edges for
+        width = max(2 * cores(stars.sparkSession), -(-2 * before[0] // EDGES))
+        ends = stars.select("a", "b").unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # nodes of more than one in ``SHARE`` of all edge ends, so fewer than ``SHARE`` of them
+        line = max(2 * before[0] // SHARE, 100)
+        hubs = [r.a for r in ends.groupBy("a").count().where(F.col("count") > line).select("a").collect()]
+        hub = F.col("a").isin(hubs) if hubs else F.lit(False)
         # large star: link larger neighbours to the smallest of the neighbourhood
-        low = materialize(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"), "low")
-        large = hot_join(both, low, ["a"], "n").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b")
-        large = materialize(large, "large")
-        # small star: link smaller neighbours and the node itself to the smallest
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = materialize(down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "low")
-        small = hot_join(down, least, ["a"], "n").select(F.col("m").alias("a"), "b").unionByName(least.select(F.col("m").alias("a"), F.col("a").alias("b")))
-        stars = materialize(small.where("a <> b").distinct(), "cc")
-        discard(old, low, large, least)
+        both = ends.where(~hub).repartition(width, "a")
+        large = both.join(both.groupBy("a").agg(F.min("b").alias("m")), "a")
+        if hubs:
+            low = ends.where(hub).groupBy("a").agg(F.min("b").alias("m"))
+            large = large.unionByName(ends.where(hub).join(F.broadcast(low), "a"))
+        large = large.where("b > a").select(F.least("a", "m").alias("a"), "b").where("a <> b")
+        # small star: link smaller neighbours and the node itself to the smallest; a node has
+        # as many smaller neighbours as there were forests with it
+        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).repartition(width, "a")
+        low = down.groupBy("a").agg(F.min("b").alias("m"))
+        small = down.join(low, "a").select(F.col("m").alias("a"), "b").unionByName(low.select(F.col("m").alias("a"), F.col("a").alias("b")))
+        old, stars = stars, materialize(small.where("a <> b").repartition(width, "a", "b").distinct(), "cc")
+        discard(old)
         state = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 31)), F.sum(F.xxhash64("b", "a") % (1 << 31))).first()
         if state == before:
             return stars.select(F.col("b").alias("node"), F.col("a").alias("root"))
