@@ -13,9 +13,10 @@ resolved exactly, by the smallest ids; scores are computed from the integers the
 Defined results: vectors that are null or empty, or hold null or non-finite components, and
 rows with a null id take no part, nor do vectors of another length than most. Equal vectors
 are separate rows, ties go to the smaller ``vec_id``. Rows that repeat a ``vec_id`` are all
-ranked against other queries, and none of them against a query of that id. Quantised
-components are clipped to 31 bits. Extra columns are ignored; an empty table gives an empty
-result.
+ranked against other queries, and none of them against a query of that id. Nothing is
+clipped: selection is exact for quantised components of less than 2**62, beyond which, or if
+a score to be returned is no 64-bit integer, the search fails with an ``OverflowError``.
+Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +37,20 @@ QUERY_BLOCK = 128
 
 
 def quantise(x: np.ndarray, scale: int = SCALE) -> np.ndarray:
-    return np.clip(np.floor(x * scale), -(2**30), 2**30).astype(np.int64)
+    out = np.floor(x * scale)
+    if out.size and np.abs(out).max() >= 2.0**62:
+        raise OverflowError("quantised components of 2**62 or more")
+    return out.astype(np.int64)
+
+
+def products(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The inner products of rows of ``values`` with ``weights``, exactly."""
+    if not values.size or float(np.abs(values).max()) * float(np.abs(weights).astype(float).sum()) < 2.0**62:
+        return values.astype(np.int64) @ weights
+    exact = [sum(a * b for a, b in zip(row, weights.tolist())) for row in values.tolist()]
+    if not all(-(2**63) <= v < 2**63 for v in exact):
+        raise OverflowError("a score of more than 64 bits")
+    return np.array(exact, dtype=np.int64)
 
 
 class BitSlices:
@@ -65,16 +79,17 @@ class BitSlices:
 
     def dumps(self) -> bytes:
         n, d = self.values.shape
-        head = struct.pack("<QQQ", n, d, len(self.slices))
-        return b"".join([head, self.ids.tobytes(), self.values.astype(np.int32).tobytes(), self.lows.tobytes(), self.widths.tobytes(), self.slices.tobytes()])
+        size = 4 if not self.values.size or np.abs(self.values).max() < 2**31 else 8
+        head = struct.pack("<QQQQ", n, d, len(self.slices), size)
+        return b"".join([head, self.ids.tobytes(), self.values.astype(f"<i{size}").tobytes(), self.lows.tobytes(), self.widths.tobytes(), self.slices.tobytes()])
 
     @classmethod
     def loads(cls, blob: bytes) -> BitSlices:
-        n, d, s = struct.unpack_from("<QQQ", blob)
-        at = 24
+        n, d, s, size = struct.unpack_from("<QQQQ", blob)
+        at = 32
         ids = np.frombuffer(blob, np.int64, n, at)
-        values = np.frombuffer(blob, np.int32, n * d, at + 8 * n).reshape(n, d)
-        at += 8 * n + 4 * n * d
+        values = np.frombuffer(blob, f"<i{size}", n * d, at + 8 * n).reshape(n, d)
+        at += 8 * n + size * n * d
         lows, widths = np.frombuffer(blob, np.int64, d, at), np.frombuffer(blob, np.int64, d, at + 8 * d)
         slices = np.frombuffer(blob, np.uint64, -1, at + 16 * d).reshape(s, (n + 63) // 64)
         return cls(ids, values, slices, lows, widths)
@@ -152,7 +167,7 @@ def _finder(k: int):
             rows = index.top(weights, k, own)
             q.append(np.full(len(rows), own))
             v.append(index.ids[rows])
-            s.append(index.values[rows].astype(np.int64) @ weights)
+            s.append(products(index.values[rows], weights))
         yield np.concatenate(q), np.concatenate(v), np.concatenate(s)
 
     return find

@@ -57,7 +57,7 @@ class Space:
             return chars[:0]
         keep = letter.copy()
         keep[1:] |= letter[:-1]
-        chars = np.concatenate([[np.uint64(0)], chars[keep], [np.uint64(0)]])
+        chars = np.concatenate([[np.uint64(0)], chars[keep], np.zeros(int(letter[-1]), np.uint64)])  # a space at either end
         n = len(chars) - self.order + 1
         code = np.zeros(max(n, 0), dtype=np.uint64)
         for k in range(self.order):

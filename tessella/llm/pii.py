@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -155,11 +157,14 @@ def candidates(text: str, base: list[Span]) -> list[tuple[Span, int]]:
     out: list[tuple[Span, int]] = []
     if not re.search(r"[0-9]|\bAT\b|[(\[{]at[)\]}]", text):
         return out
-    taken = sorted((a, b) for a, b, _ in base)
+    taken = [(a, b) for a, b, _ in base]
     for kind, loose in _LOOSE:
-        for m in loose.finditer(text):
+        taken.sort()
+        starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+        for m in loose.finditer(text):  # matches of one form do not overlap each other
             a, b = m.span()
-            if not any(x < b and a < y for x, y in taken):
+            before = bisect_left(starts, b)  # spans that start before this one ends
+            if not before or ends[before - 1] <= a:
                 out.append(((a, b, kind), pattern(kind, votes(text, (a, b, kind)))))
                 taken.append((a, b))
     return sorted(out)

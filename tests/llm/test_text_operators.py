@@ -334,9 +334,29 @@ def test_long_runs_stay_linear():
 
     began = time.time()
     for text in ("1" * 200_000, "a" * 200_000, "@" * 100_000, "+1 " * 60_000, "1." * 100_000):
+        pii.candidates(text, pii.base_spans(text))
+
+    def cost(n):
+        loose = "call (212) 555-0187 or bob at example.com, bob (at) example.com " * n
+        start = time.process_time()
+        found = pii.candidates(loose, pii.base_spans(loose))
+        assert len(found) == 2 * n
+        return time.process_time() - start
+
+    cost(100)
+    assert cost(8000) < 12 * cost(2000) + 1
+    assert time.time() - began < 120
+
+
+def test_candidates_overlap_nothing():
+    rng = np.random.default_rng(11)
+    parts = ["a@b.com", "(212) 555-0187", "bob (at) example.com", "4111.1111.1111.1111", "10[.]0[.]0[.]1", "+1 578 555 8087", "212-555-0187", " ", " ", "x"]
+    for _ in range(300):
+        text = "".join(rng.choice(parts, size=rng.integers(1, 12)))
         base = pii.base_spans(text)
-        pii.candidates(text, base) if len(base) < 1000 else None
-    assert time.time() - began < 30
+        loose = [s for s, _ in pii.candidates(text, base)]
+        for k, (a, b, _) in enumerate(loose):
+            assert not any(x < b and a < y for x, y, _ in base + loose[:k])
 
 
 def test_dawid_skene_finds_the_unreliable_labeler():
@@ -364,6 +384,39 @@ def test_language_id(spark, docs, none):
     assert language_id.learn(none).languages == []
 
 
+def test_language_cosines_and_ties_by_brute_force(spark):
+    """Scores are the cosines of bundles with centred prototypes, n-gram by n-gram."""
+    own = language_id.Space()
+
+    def bundle(text):
+        chars = [0]
+        for c in text.lower():
+            if c.isalpha():
+                chars.append(ord(c))
+            elif chars[-1]:
+                chars.append(0)
+        chars += [0] if chars[-1] else []
+        total = np.zeros(own.dimensions)
+        for g in zip(chars, chars[1:], chars[2:]):
+            v = np.ones(own.dimensions)
+            for k, c in enumerate(g):
+                v = v * np.roll(np.random.default_rng([own.seed, c]).integers(0, 2, own.dimensions, dtype=np.int8) * 2.0 - 1, len(g) - 1 - k)
+            total += v
+        return total
+
+    taught = {"x": "anna banana", "y": "otto moto, loto!", "w": "otto moto, loto!"}  # w and y are the same
+    table = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(taught.items())], "doc_id long, text string, lang string")
+    profiles = language_id.learn(table)
+    unit = {k: bundle(t) / np.linalg.norm(bundle(t)) for k, t in taught.items()}
+    mean = sum(unit.values()) / 3
+    for text in ("banana anna", "moto otto", "Émile 3 zola"):
+        v = bundle(text)
+        want = {k: float((u - mean) @ v / np.linalg.norm(u - mean) / np.linalg.norm(v)) for k, u in unit.items()}
+        lang, score = profiles.predict(text)
+        assert abs(score - (1 + max(want.values())) / 2) < 1e-5
+        assert lang == min(k for k in want if want[k] > max(want.values()) - 1e-9)
+
+
 def test_toxicity(spark, docs, none):
     rng = np.random.default_rng(9)
     rows, labels = [], []

@@ -50,6 +50,40 @@ def test_exact_topk(spark, vectors, shard):
     assert set(got) == {i for i in own if i % 10 == 0}
 
 
+def test_exact_topk_of_large_components_repeated_ids_and_other_lengths(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(80, 4)) * 10.0 ** rng.integers(0, 5, size=(80, 1))
+    x[:3] *= 4000
+    ids = [*range(70), *range(10)]  # ten ids twice
+    rows = [(i, v.tolist()) for i, v in zip(ids, x)] + [(500, [1e6] * 3), (510, [1.0] * 5)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = exact_topk.exact_top_k(table, table.where("vec_id % 10 = 0 and vec_id >= 10"), 10, 16)
+    own = [(i, [int(np.floor(c * 1024)) for c in v]) for i, v in zip(ids, x.tolist())]
+    for q, w in own[10:70:10]:
+        want = sorted((-sum(a * b for a, b in zip(w, v)), i) for i, v in own if i != q)[:10]
+        assert [(s, i) for _, i, s in by_query(got)[q]] == [(-s, i) for s, i in want]
+    assert set(by_query(got)) == {10, 20, 30, 40, 50, 60}
+    assert max(abs(c) for _, v in own for c in v) > 2**31
+    with pytest.raises(OverflowError):
+        exact_topk.quantise(np.array([[1e300]]))
+    with pytest.raises(OverflowError):
+        exact_topk.products(np.full((1, 4), 2**40), np.full(4, 2**40))
+
+
+def test_recall_at_the_default_factor(spark):
+    """The search as the query runs it, over several shards, finds nine in ten or more."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 16)) + 2 * rng.normal(size=(30, 16))[rng.integers(0, 30, 3000)]
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(2)
+    got = by_query(neighbours.nearest(table, table.where("vec_id % 20 = 0"), rows=700))
+    hits = 0
+    for q, found in got.items():
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits += len(set(np.argsort(-scores)[:20].tolist()) & {i for _, i, _ in found})
+    assert len(got) == 150 and hits / (150 * 20) >= 0.9
+
+
 def test_all_candidates_if_fewer(spark):
     few = spark.createDataFrame(rows()[:5], SCHEMA)
     assert {q: len(v) for q, v in by_query(exact_topk.exact_top_k(few, few, 10)).items()} == {i: 4 for i in range(5)}
