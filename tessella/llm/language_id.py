@@ -117,7 +117,7 @@ class Profiles:
             return UNDETERMINED, 0.0
         vector = own.bundle(*np.unique(codes, return_counts=True))
         cosines = self.prototypes @ vector / (np.linalg.norm(vector) or 1.0)
-        best = int(np.argmax(cosines))
+        best = int(np.argmax(np.round(cosines, 12)))  # equal up to the order of summation: a tie
         return self.languages[best], float(np.clip((1 + cosines[best]) / 2, 0, 1))
 
 
