@@ -246,6 +246,8 @@ class StreamDecoder:
         """The text that token ``i`` completes."""
         hit = self.known.get((self.held, i))
         if hit is None:
+            if len(self.known) >= 200_000:
+                self.known.clear()
             hit = self.known[self.held, i] = self._advance(self.held + self.names[i])
         self.held = hit[1]
         return hit[0]
