@@ -39,10 +39,30 @@ def size_range(size: Column) -> tuple[Column, Column]:
     return F.least(size - 4, F.floor(size * 0.75)).cast("int"), F.greatest(size + 4, F.ceil(size * 1.33)).cast("int")
 
 
+# The compatible connector distances (least, most) of distances 0, 1, 2, ...
+# The last pair also holds for every greater distance.
+DISTANCES = (
+    (1, 4), (1, 4), (1, 4), (2, 5), (2, 6), (3, 7), (4, 9), (5, 10),
+    (6, 11), (7, 12), (7, 13), (7, 14), (8, 16), (9, 17), (10, 18), (11, 19),
+    (12, 20), (13, 21), (14, 22), (15, 23), (16, 24), (17, 25), (18, 26), (19, 27),
+    (20, 28), (21, 29), (22, 30), (23, 31), (24, 32), (25, 33), (26, 34), (27, 35),
+)
+
+
 def distance_range(d: Column) -> tuple[Column, Column]:
-    """Compatible connector distances: exact when short, looser as they grow."""
-    slack = F.when(d <= 2, 0).when(d <= 5, 1).when(d <= 9, 2).otherwise(F.ceil(d * 0.25))
-    return (d - slack).cast("int"), (d + slack).cast("int")
+    """Compatible connector distances: least and most, by the fixed table."""
+    place = F.when(d.isNotNull(), F.least(d, F.lit(len(DISTANCES) - 1))).cast("int")
+    return tuple(F.get(F.array(*[F.lit(pair[k]) for pair in DISTANCES]), place) for k in (0, 1))
+
+
+def merge_descriptors(descriptors: Column, added: dict[str, Column], overwrite: bool = False) -> Column:
+    """``descriptors`` (a map of strings, null counts as empty) with entries added.
+
+    An entry that is there already stays, unless ``overwrite``; null values are not added.
+    """
+    old = F.coalesce(descriptors, F.create_map().cast("map<string,string>"))
+    new = F.map_filter(F.create_map(*[c for k, v in added.items() for c in (F.lit(k), v.cast("string"))]), lambda k, v: v.isNotNull())
+    return F.map_zip_with(old, new, lambda k, a, b: F.coalesce(b, a) if overwrite else F.coalesce(a, b))
 
 
 def size_cap(n: Column, scale: float, offset: float, max_centers: int) -> Column:

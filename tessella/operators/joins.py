@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,6 +35,30 @@ def superset_join(queries: DataFrame, rows: DataFrame, q_fp: str = "q_fp", fp: s
     return in_blocks(queries, rows, contains)
 
 
+def all_supersets(queries: DataFrame, rows: DataFrame, words: int, *by: str, q_fp: str = "q_fp") -> DataFrame:
+    """For each query and group of ``rows``, whether every bitset of the group holds the query's.
+
+    That is the case if the group's intersection does, so the rows are aggregated first and
+    only groups meet queries: ``queries``' columns but ``q_fp``, ``by`` and ``all_superset``.
+    Null bitsets are left out.
+    """
+    common = rows.where("fp is not null").groupBy(*by).agg(F.array(*[F.bit_and(F.col("fp")[w]) for w in range(words)]).alias("all_bits"))
+    return in_blocks(queries, common).withColumn("all_superset", bits.superset(F.col("all_bits"), F.col(q_fp))).drop("all_bits", q_fp)
+
+
+def similarity_matrix(references: DataFrame, library: DataFrame, descriptors: Sequence[str], key: str = "item") -> DataFrame:
+    """the similarity of every library entry to each of a stated set of references.
+
+    Both have ``key`` and one bitset column for each descriptor. Result: ``reference, item,
+    descriptor, similarity``, NaN where either lacks the descriptor or both bitsets are empty.
+    Entries of one key count once (the least bitsets of it); references travel in blocks.
+    """
+    once = library.groupBy(F.col(key).alias("item")).agg(*[F.min(d).alias(f"i_{d}") for d in descriptors])
+    wanted = references.groupBy(F.col(key).alias("reference")).agg(*[F.min(d).alias(f"r_{d}") for d in descriptors])
+    each = [F.struct(F.lit(d).alias("descriptor"), F.coalesce(bits.tanimoto(F.col(f"r_{d}"), F.col(f"i_{d}")), F.lit(float("nan"))).alias("similarity")) for d in descriptors]
+    return in_blocks(wanted, once).select("reference", "item", F.inline(F.array(*each)))
+
+
 def hamming_join(queries: DataFrame, rows: DataFrame, radius: int, n_bits: int, q_id: str = "query_id", r_id: str = "row_id") -> DataFrame:
     """All pairs within ``radius`` by the pigeonhole over ``radius + 1`` bit ranges.
 
@@ -124,7 +150,7 @@ def topology_join(queries: DataFrame, rows: DataFrame) -> DataFrame:
     """Equal connectors, compatible size and pairwise distances.
 
     Both sides have ``connectors, size, dists``; queries also ``low, high`` and
-    ``dist_low, dist_high`` arrays.
+    ``dist_low, dist_high`` arrays. Arrays of unlike lengths are not compatible.
     """
     inside = F.forall(F.zip_with("dist_low", "dists", lambda a, d: a <= d), lambda t: t) & F.forall(F.zip_with("dist_high", "dists", lambda b, d: d <= b), lambda t: t)
     return queries.join(rows, "connectors").where(F.col("size").between(F.col("low"), F.col("high"))).where(inside)

@@ -278,6 +278,47 @@ def reaction_weights(spark, sf_dir):
     return sampling.reaction_weights(n).withColumn("weight", F.round("weight", 9))
 
 
+def _bound(k: int, d: str) -> str:
+    """SQL of the least (0) or most (1) distance compatible with ``d``."""
+    return f"[{', '.join(str(pair[k]) for pair in scalars.DISTANCES)}][least({d}, {len(scalars.DISTANCES) - 1}) + 1]"
+
+
+@query(f"""WITH {S}, d AS (SELECT frag_id, connectors, size, size % 9 AS d1, CAST(frag_id AS INTEGER) % 40 AS d2 FROM s),
+q AS (SELECT rxn_id, set_idx, connectors, CAST(avg(size) AS INTEGER) AS m, CAST(max(CAST(frag_id AS INTEGER)) % 40 AS INTEGER) AS d FROM s GROUP BY ALL),
+r AS (SELECT *, least(m - 4, CAST(floor(m * 0.75) AS INTEGER)) AS low, greatest(m + 4, CAST(ceil(m * 1.33) AS INTEGER)) AS high FROM q)
+SELECT r.rxn_id AS query_rxn, r.set_idx AS query_set, d.frag_id FROM r JOIN d ON r.connectors = d.connectors AND d.size BETWEEN r.low AND r.high
+AND d.d1 BETWEEN {_bound(0, "m % 9")} AND {_bound(1, "m % 9")} AND d.d2 BETWEEN {_bound(0, "d")} AND {_bound(1, "d")}""")
+def topology_distance_join(spark, sf_dir):
+    """Stand-in distances: the size modulo 9 and the part's number modulo 40."""
+    number = F.col("frag_id").cast("int") % 40
+    rows = synthons(spark, sf_dir).select("rxn_id", "set_idx", "frag_id", "connectors", "size", F.array(F.col("size") % 9, number).alias("dists"))
+    q = rows.groupBy("rxn_id", "set_idx", "connectors").agg(F.rint(F.avg("size")).cast("int").alias("m"), (F.max(F.col("frag_id").cast("int")) % 40).alias("d"))
+    low, high = scalars.size_range(F.col("m"))
+    near = [scalars.distance_range(d) for d in (F.col("m") % 9, F.col("d"))]
+    q = q.select(
+        F.col("rxn_id").alias("query_rxn"), F.col("set_idx").alias("query_set"), "connectors", low.alias("low"), high.alias("high"),
+        F.array(*[n[0] for n in near]).alias("dist_low"), F.array(*[n[1] for n in near]).alias("dist_high"),
+    )
+    return joins.topology_join(q, rows.drop("rxn_id", "set_idx")).select("query_rxn", "query_set", "frag_id")
+
+
+@query(f"""WITH {FP}, g AS (SELECT vec_id // 4 AS quad, bit_and(a) AS a, bit_and(b) AS b FROM f GROUP BY ALL), q AS (SELECT vec_id, a & 1048577 AS a, b & 1 AS b FROM f WHERE vec_id % 100 = 0)
+SELECT q.vec_id AS query_id, g.quad, (g.a & q.a) = q.a AND (g.b & q.b) = q.b AS all_superset FROM q, g""")
+def group_all_supersets(spark, sf_dir):
+    fps = fingerprints(spark, sf_dir)
+    mask = F.array(F.lit(1048577).cast("long"), F.lit(1).cast("long"))
+    q = _queries_of(fps).withColumn("q_fp", bits.intersection(F.col("q_fp"), mask))
+    return joins.all_supersets(q, fps.withColumn("quad", F.floor(F.col("vec_id") / 4)), 2, "quad")
+
+
+@query(f"""WITH {FP}, w AS (SELECT vec_id, 'first' AS descriptor, a AS x FROM f UNION ALL SELECT vec_id, 'second', b FROM f)
+SELECT q.vec_id AS reference, r.vec_id AS item, q.descriptor, CASE WHEN (q.x | r.x) = 0 THEN CAST('NaN' AS DOUBLE) ELSE CAST(bit_count(q.x & r.x) AS DOUBLE) / bit_count(q.x | r.x) END AS similarity
+FROM w q JOIN w r ON q.descriptor = r.descriptor AND q.vec_id % 100 = 0""")
+def descriptor_similarities(spark, sf_dir):
+    fps = fingerprints(spark, sf_dir).select(F.col("vec_id").alias("item"), *[F.array(F.col("fp")[w]).alias(d) for w, d in enumerate(("first", "second"))])
+    return joins.similarity_matrix(fps.where("item % 100 = 0"), fps, ("first", "second"))
+
+
 @query(f"""WITH {S}, q AS (SELECT rxn_id, set_idx, connectors, CAST(avg(size) AS INTEGER) AS m FROM s GROUP BY ALL),
 r AS (SELECT rxn_id, set_idx, connectors, least(m - 4, CAST(floor(m * 0.75) AS INTEGER)) AS low, greatest(m + 4, CAST(ceil(m * 1.33) AS INTEGER)) AS high FROM q)
 SELECT r.rxn_id AS query_rxn, r.set_idx AS query_set, s.frag_id FROM r JOIN s ON r.connectors = s.connectors AND s.size BETWEEN r.low AND r.high""")
@@ -346,8 +387,8 @@ def dedup_exact(spark, sf_dir):
 def descriptor_augment(spark, sf_dir):
     text = F.coalesce("text", F.lit(""))
     words = F.size(F.filter(F.split(text, " "), lambda x: x != ""))
-    added = F.map_from_arrays(F.array(F.lit("len"), F.lit("words")), F.array(F.length(text).cast("string"), words.cast("string")))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.map_concat(F.create_map().cast("map<string,string>"), added).alias("a"))
+    added = scalars.merge_descriptors(F.lit(None).cast("map<string,string>"), {"len": F.length(text), "words": words})
+    docs = table(spark, sf_dir, "documents").select("doc_id", added.alias("a"))
     return docs.select("doc_id", F.concat(F.lit("len="), F.col("a")["len"], F.lit(";words="), F.col("a")["words"]).alias("tags"))
 
 

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from tessella.functions import bits, scalars
-from tessella.operators import aggregates, ranking, sampling
+from tessella.operators import aggregates, joins, ranking, sampling
 
 
 def test_bit_round_trips(spark):
@@ -79,3 +79,34 @@ def test_validation_rules(spark):
     found = {(r.rxn_id, r.problem) for r in out}
     assert not any(r == "ok" for r, _ in found)
     assert ("mixed", "mixed connectors in a set") in found and ("open", "connector not on two sets") in found and ("bare", "no connector") in found
+
+
+def test_distance_ranges(spark):
+    df = spark.createDataFrame([(d,) for d in (0, 3, 10, 31, 32, 500, None)], "d int")
+    low, high = scalars.distance_range(F.col("d"))
+    assert [tuple(r) for r in df.select(low, high).collect()] == [(1, 4), (2, 5), (7, 13), (27, 35), (27, 35), (27, 35), (None, None)]
+
+
+def test_topology_join_takes_arrays_of_one_length_only(spark):
+    rows = spark.createDataFrame([(1, 3, 10, [4]), (2, 3, 10, [4, 4]), (3, 3, 10, []), (4, 3, 99, [4]), (5, 3, 10, None), (6, 3, 10, [9])], "id int, connectors int, size int, dists array<int>")
+    q = spark.createDataFrame([(3, 7, 14, [2], [6])], "connectors int, low int, high int, dist_low array<int>, dist_high array<int>")
+    assert [r.id for r in joins.topology_join(q, rows).collect()] == [1]
+
+
+def test_merge_descriptors(spark):
+    df = spark.createDataFrame([({"a": "1"}, "x"), (None, "y"), ({"b": "2"}, None)], "m map<string,string>, v string")
+    added = {"a": F.col("v"), "c": F.lit(3)}
+    kept = [r[0] for r in df.select(scalars.merge_descriptors(F.col("m"), added)).collect()]
+    assert kept == [{"a": "1", "c": "3"}, {"a": "y", "c": "3"}, {"b": "2", "c": "3"}]
+    assert df.select(scalars.merge_descriptors(F.col("m"), added, overwrite=True)).first()[0] == {"a": "x", "c": "3"}
+
+
+def test_all_supersets_and_similarity_matrix(spark):
+    rows = spark.createDataFrame([("g", [3]), ("g", [7]), ("h", [4]), ("h", None)], "grp string, fp array<bigint>")
+    q = spark.createDataFrame([(1, [3]), (2, [0]), (3, [4])], "query_id int, q_fp array<bigint>")
+    got = {(r.query_id, r.grp): r.all_superset for r in joins.all_supersets(q, rows, 1, "grp").collect()}
+    assert got == {(1, "g"): True, (2, "g"): True, (3, "g"): False, (1, "h"): False, (2, "h"): True, (3, "h"): True}
+    lib = spark.createDataFrame([("p", [3]), ("p", [3]), ("q", [0]), ("r", None)], "item string, d array<bigint>")
+    ref = spark.createDataFrame([("x", [1])], "item string, d array<bigint>")
+    got = {r["item"]: r.similarity for r in joins.similarity_matrix(ref, lib, ["d"]).collect()}
+    assert got["p"] == 0.5 and got["q"] == 0.0 and got["r"] != got["r"] and len(got) == 3
