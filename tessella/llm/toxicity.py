@@ -6,12 +6,13 @@ or the longest prefix of it whose log-odds are significant. Other words score a
 below zero. A linear-time scan finds all maximal scoring segments, the passages of a text
 that are toxic on balance; extreme-value theory (the score at which ``K n exp(-lambda S)``
 such segments are expected by chance) makes the best segments of texts of different lengths
-comparable, and a logistic calibration on learning rows turns that into a probability.
+comparable, and a monotone calibration on learning rows turns that into a probability: toxic
+labels of texts without any toxic word do not bend it for the others, as a curve's would.
 
 Learning uses at most ``SAMPLE`` labelled documents, those whose ids hash lowest; the bound
 is a parameter. Only their labels are broadcast, so the corpus is not shuffled. Defined
 results: null and wordless texts have no segment and get what the calibration gives that;
-without any usable label every score is near 0. A
+without any usable label every score is 0. A
 null or repeated label counts as absent or as one label (the largest). Extra columns are
 ignored, and an empty table gives an empty result.
 """
@@ -71,7 +72,7 @@ class ToxicityModel:
     odds: np.ndarray = field(default_factory=lambda: np.zeros(0))
     lam: float = 1.0
     k: float = 0.1
-    calibration: tuple[float, float] = (-30.0, 0.0)
+    calibration: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(1), np.zeros(1)))
 
     def word_scores(self, words: Words) -> np.ndarray:
         """A score for each word: of the word, else of its longest scored prefix."""
@@ -90,8 +91,7 @@ class ToxicityModel:
         return float(np.clip(self.lam * best - np.log(max(self.k * max(n, 1), 1e-9)), -20, 40)) if best > 0 else -20.0
 
     def probability(self, evidence: float) -> float:
-        a, b = self.calibration
-        return float(1 / (1 + np.exp(-np.clip(a + b * evidence, -30, 30))))
+        return float(np.interp(evidence, *self.calibration))
 
     def texts(self, column: pa.Array) -> Iterator[tuple[float, list[tuple[int, int, float]], Words, int]]:
         """Evidence, segments, and the words with the document's place among them."""
@@ -164,17 +164,22 @@ def _null_parameters(odds: np.ndarray, share: np.ndarray) -> tuple[float, float]
     return low, float(max(1e-6, share.sum()))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
-    """Intercept and slope by Newton steps with a small ridge."""
-    z = np.stack([np.ones(len(x)), x], axis=1)
-    beta = np.zeros(2)
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-        grad = z.T @ (w * (p - y)) + 1e-3 * beta
-        hess = (z * (w * p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2)
-        step = np.linalg.solve(hess, grad)
-        beta -= step / max(1.0, np.abs(step).max() / 2)
-    return float(beta[0]), float(beta[1])
+def _monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The non-decreasing share of ``y`` over ``x`` (pooled adjacent violators) as knots.
+
+    ``x`` may repeat. Every pool counts half a case of either kind more, and is flat from its
+    first to its last ``x``, with straight lines between pools.
+    """
+    values, inverse = np.unique(x, return_inverse=True)
+    ones, all_ = np.bincount(inverse, weights=w * y), np.bincount(inverse, weights=w)
+    pools: list[list[float]] = []  # first x, last x, ones, cases
+    for v, one, n in zip(values.tolist(), ones.tolist(), all_.tolist()):
+        pools.append([v, v, one, n])
+        while len(pools) > 1 and pools[-2][2] * pools[-1][3] >= pools[-1][2] * pools[-2][3]:
+            _, last, more, cases = pools.pop()
+            pools[-1] = [pools[-1][0], last, pools[-1][2] + more, pools[-1][3] + cases]
+    share = np.maximum.accumulate([(one + 0.5) / (n + 1) for *_, one, n in pools])
+    return np.array([[a, b] for a, b, *_ in pools]).ravel(), np.repeat(share, 2)
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> ToxicityModel:
@@ -223,7 +228,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
 
     bins = texts.select("text", "y").mapInArrow(evidence, "e int, y double").groupBy("e", "y").count().toPandas()  # at most 482 rows
     if len(bins):
-        model.calibration = _logistic(bins["e"].to_numpy() / 4, (bins["y"].to_numpy() > 0).astype(float), bins["count"].to_numpy(dtype=float))
+        model.calibration = _monotone(bins["e"].to_numpy() / 4, (bins["y"].to_numpy() > 0).astype(float), bins["count"].to_numpy(dtype=float))
     return model
 
 

@@ -417,6 +417,39 @@ def test_language_cosines_and_ties_by_brute_force(spark):
         assert lang == min(k for k in want if want[k] > max(want.values()) - 1e-9)
 
 
+def test_monotone_calibration_is_the_least_squares_one():
+    """Against the minimax formula of the isotonic fit, on the shares before smoothing."""
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        x, y = rng.integers(0, 9, 30).astype(float), (rng.random(30) < 0.4).astype(float)
+        w = rng.integers(1, 4, 30).astype(float)
+        knots, share = toxicity._monotone(x, y, w)
+        values = np.unique(x)
+        mean = lambda a, b: (w * y)[(x >= a) & (x <= b)].sum() / w[(x >= a) & (x <= b)].sum()
+        want = {v: max(min(mean(a, b) for b in values if b >= v) for a in values if a <= v) for v in values}
+        for a, b in zip(knots[::2], knots[1::2]):
+            inside = (x >= a) & (x <= b)
+            assert all(abs(want[v] - mean(a, b)) < 1e-9 for v in values if a <= v <= b)
+            assert np.interp(a, knots, share) >= ((w * y)[inside].sum() + 0.5) / (w[inside].sum() + 1) - 1e-12
+        assert (np.diff(share) >= 0).all() and ((share > 0) & (share < 1)).all()
+
+
+def test_toxicity_recall_beside_wrong_labels(spark):
+    """Clean texts labelled toxic do not raise the bar for texts with toxic words."""
+    rng = np.random.default_rng(8)
+    rows, labels = [], []
+    for i in range(1500):
+        words = rng.choice(["river", "stone", "meadow", "lamp", "window", "paper"], size=int(rng.integers(20, 200))).tolist()
+        if i % 8 == 0:
+            words[5:5] = ["grubnak"] * int(rng.integers(1, 3))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 8 == 0 or i % 29 == 0)))
+    table, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.learn(table, marks.where("doc_id % 5 <> 0"))
+    out = {r.doc_id: r.predicted for r in toxicity.score(table, model, "doc_id").where("doc_id % 5 = 0").collect()}
+    assert all(out[i] == int(i % 8 == 0) for i in out)
+
+
 def test_toxicity(spark, docs, none):
     rng = np.random.default_rng(9)
     rows, labels = [], []
