@@ -48,13 +48,27 @@ class VantageTree:
         by_group = np.argsort(group, kind="stable")
         self.ids = ids[by_group]
         self.bounds = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=len(first)))])
-        norms = np.einsum("nd,nd->n", self.x, self.x)
-        self.reach = float(norms.max())
-        self.full = np.concatenate([self.x, np.sqrt(np.maximum(self.reach - norms, 0))[:, None]], axis=1)
+        self._complete()
         self.leaf = leaf
         rng = np.random.default_rng(seed)
         self.root = self._split(np.arange(len(self.x)), rng)
 
+    def _complete(self) -> None:
+        """The vectors, all completed to the largest norm."""
+        norms = np.einsum("nd,nd->n", self.x, self.x)
+        self.reach = float(norms.max())
+        self.full = np.concatenate([self.x, np.sqrt(np.maximum(self.reach - norms, 0))[:, None]], axis=1)
+
+    def __getstate__(self) -> dict:
+        """Without what follows from the vectors, and these in single precision where that is exact."""
+        small = self.x.astype(np.float32)
+        x = small if (small == self.x).all() else self.x
+        return {k: v for k, v in self.__dict__.items() if k not in ("full", "reach")} | {"x": x}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state | {"x": state["x"].astype(np.float64)})
+        self._complete()
+
     def _split(self, points: np.ndarray, rng: np.random.Generator):
         if len(points) <= self.leaf:
             return points

@@ -1,8 +1,9 @@
 """What the two vector searches share: usable vectors, shards in place, query blocks.
 
 A shard is up to ``rows`` consecutive usable vectors of one input partition, so sharding
-moves nothing. Queries are packed into blocks and every block is joined with every shard
-by the shard's number: the stated query set against all rows, in blocks.
+moves nothing. Queries are packed into blocks, blocks are dealt into groups, and every task
+takes one shard and one group of blocks: the stated query set against all rows, in blocks.
+Tasks are dealt as pairs of numbers; a task reads its shard once for all of its blocks.
 """
 
 from __future__ import annotations
@@ -16,7 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.runtime import materialize, shuffle_width
+from tessella.runtime import cores, materialize
+
+#: Tasks of a search for each core, as far as there are blocks of queries for them.
+TASKS = 3
+#: Blocks of queries that a task takes at most, but for the remainders of input partitions.
+GROUP = 16
 
 
 def usable(batch: pa.RecordBatch, dims: int | None = None, zero: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -83,15 +89,18 @@ def dimensions(vectors: DataFrame) -> int:
 
 
 def query_blocks(queries: DataFrame, dims: int, size: int, zero: bool) -> DataFrame:
-    """``ids binary, queries binary``: up to ``size`` queries a row."""
+    """``block long, ids binary, queries binary``: up to ``size`` queries a row, written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids, x = usable(batch, dims, zero)
             for at in range(0, len(ids), size):
-                yield pa.RecordBatch.from_arrays([pa.array([ids[at : at + size].tobytes()], pa.binary()), pa.array([x[at : at + size].tobytes()], pa.binary())], ["ids", "queries"])
+                own = pa.array([ids[at : at + size].tobytes()], pa.binary()), pa.array([x[at : at + size].tobytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([number]), *own], ["block", "ids", "queries"])
+                number += 1
 
-    return queries.select("vec_id", "embedding").mapInArrow(run, "ids binary, queries binary")
+    return materialize(queries.select("vec_id", "embedding").mapInArrow(run, "block long, ids binary, queries binary"), "queries")
 
 
 def search(
@@ -100,23 +109,34 @@ def search(
     """The ``k`` best of every query over all shards, larger scores and smaller ids first.
 
     ``find(blob, ids, queries)`` yields query ids, vector ids and scores of at most the k
-    best of one shard for each query.
+    best of one shard for each query. ``index`` and ``blocks`` are written tables. There are
+    as many groups of blocks as keep ``TASKS`` tasks for each core, and no group has more
+    than about ``GROUP`` blocks: the shards are copied once for each group, the blocks once
+    for each shard, and no task holds more than one shard and one group.
     """
     arrow = pa.int64() if kind == "long" else pa.float64()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob, ids, queries in zip(batch.column("blob"), batch.column("ids"), batch.column("queries")):
-                own = np.frombuffer(ids.as_buffer(), dtype=np.int64)
-                x = np.frombuffer(queries.as_buffer(), dtype=np.float64).reshape(len(own), dims)
-                for q, v, s in find(blob.as_py(), own, x):
-                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s, arrow)], ["query_id", "vec_id", "score"])
-
     spark = index.sparkSession
-    numbers = index.select("shard")
-    width = shuffle_width(spark)
-    dealt = blocks.crossJoin(numbers).repartition(width, "shard", "ids")
-    found = dealt.join(index, "shard").mapInArrow(run, f"query_id long, vec_id long, score {kind}")
+
+    def run(key: tuple, shard: pa.Table, own: pa.Table) -> pa.Table:
+        parts = []
+        if shard.num_rows:
+            blob = shard.column("blob")[0].as_py()
+            for ids, queries in zip(own.column("ids"), own.column("queries")):
+                names = np.frombuffer(ids.as_buffer(), dtype=np.int64)
+                x = np.frombuffer(queries.as_buffer(), dtype=np.float64).reshape(len(names), dims)
+                parts += list(find(blob, names, x))
+        q, v, s = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
+        return pa.table([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, arrow)], ["query_id", "vec_id", "score"])
+
+    n_shards, n_blocks = index.count(), blocks.count()
+    groups = max(1, min(n_blocks, max(-(-TASKS * cores(spark) // max(n_shards, 1)), -(-n_blocks // GROUP))))
+    # numbers of a partition follow each other, and so do those of partitions
+    place = F.shiftright("block", 32) + F.col("block").bitwiseAND(F.lit((1 << 32) - 1))
+    dealt = blocks.withColumn("group", F.pmod(place, F.lit(groups)).cast("int"))
+    copies = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    pairs = index.select(F.col("shard").alias("to_shard"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    wanted = pairs.join(dealt.select("group", "ids", "queries"), "group")
+    found = copies.groupBy("shard", "group").cogroup(wanted.groupBy("to_shard", "group")).applyInArrow(run, f"query_id long, vec_id long, score {kind}")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

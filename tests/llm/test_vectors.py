@@ -114,3 +114,14 @@ def test_tree_prunes_and_recalls():
         scores[q[0]] = -np.inf
         hits += len(set(np.argsort(-scores)[:20]) & set(v))
     assert hits / 2000 >= 0.9
+
+
+def test_every_block_meets_every_shard(spark, vectors, monkeypatch):
+    """Many groups of small blocks give what one block gives, and no pair is a product of tables."""
+    from tessella.llm import vectors as dealt
+
+    want = by_query(exact_topk.exact_top_k(vectors, vectors, 10, 64))
+    monkeypatch.setattr(exact_topk, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(dealt, "GROUP", 2)
+    few = exact_topk.exact_top_k(vectors, vectors, 10, 64)
+    assert by_query(few) == want and "CartesianProduct" not in few._jdf.queryExecution().toString()
