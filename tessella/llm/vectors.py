@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.runtime import cores, materialize
+from tessella.runtime import cores, materialize, shuffle_width
 
 #: Tasks of a search for each core, as far as there are blocks of queries for them.
 TASKS = 3
@@ -136,6 +136,9 @@ def search(
     copies = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     pairs = index.select(F.col("shard").alias("to_shard"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
     wanted = pairs.join(dealt.select("group", "ids", "queries"), "group")
+    # so wide that pairs seldom share a task; empty tasks cost little
+    width = max(shuffle_width(spark), min(2 * n_shards * groups, 16 * cores(spark)))
+    copies, wanted = copies.repartition(width, "shard", "group"), wanted.repartition(width, "to_shard", "group")
     found = copies.groupBy("shard", "group").cogroup(wanted.groupBy("to_shard", "group")).applyInArrow(run, f"query_id long, vec_id long, score {kind}")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k)
