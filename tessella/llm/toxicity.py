@@ -36,6 +36,9 @@ PREFIXES = (4, 5, 6)
 #: What every word without a score of its own costs.
 DRIFT = 0.05
 PRIOR = 10.0
+#: Rows whose texts a worker copies at a time, and features that it holds before it combines them.
+ROWS = 1000
+HELD = 1 << 18
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -95,14 +98,15 @@ class ToxicityModel:
 
     def texts(self, column: pa.Array) -> Iterator[tuple[float, list[tuple[int, int, float]], Words, int]]:
         """Evidence, segments, and the words with the document's place among them."""
-        raw, offs = text_buffers(column)
-        for lo, hi in doc_blocks(offs):
-            words = Words(raw, offs[lo : hi + 1], lower=True, separator=NOT_LETTER)
-            scores = self.word_scores(words)
-            for i in range(hi - lo):
-                a, b = words.bounds[i], words.bounds[i + 1]
-                segments = maximal_segments(scores[a:b])
-                yield self.evidence(segments, b - a), segments, words, i
+        for at in range(0, len(column), ROWS):
+            raw, offs = text_buffers(column.slice(at, ROWS))
+            for lo, hi in doc_blocks(offs):
+                words = Words(raw, offs[lo : hi + 1], lower=True, separator=NOT_LETTER)
+                scores = self.word_scores(words)
+                for i in range(hi - lo):
+                    a, b = words.bounds[i], words.bounds[i + 1]
+                    segments = maximal_segments(scores[a:b])
+                    yield self.evidence(segments, b - a), segments, words, i
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +127,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
         labels.clear()
 
-    for batch in batches:
+    for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
         raw, offs = text_buffers(batch.column("text"))
         y = batch.column("y").to_numpy()
         for lo, hi in doc_blocks(offs):
@@ -137,7 +141,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 labels.append(np.full(len(own), float(y[lo + i] > 0)))
                 size += len(own)
                 tokens += int(b - a) if y[lo + i] <= 0 else 0
-            if size > 1_000_000:
+            if size > HELD:
                 yield from flush()
                 size = 0
     if held:
