@@ -5,7 +5,7 @@ import datetime
 import duckdb
 import pytest
 
-from tessella.plans import catalogue
+from tessella.plans import catalogue, rules, structures  # noqa: F401  (they register queries)
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
