@@ -7,13 +7,14 @@ that Spark evaluates itself.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.window import Window
 
 from tessella.chem import fragments as fr
 from tessella.chem.molecule import Molecule, fingerprint, match, parse
@@ -251,3 +252,49 @@ def connected_pair_search(index: DataFrame, structure: str, pairs: list[tuple[li
     if out is None:
         raise ValueError("no pairs")
     return out
+
+
+def search_spaces(indexes: dict[str, DataFrame], structure: str, **options) -> DataFrame:
+    """:func:`substructure_search` over several named spaces, with the column ``space``."""
+    if not indexes:
+        raise ValueError("no spaces")
+    out = None
+    for name, index in indexes.items():
+        hits = substructure_search(index, structure, **options).select(F.lit(name).alias("space"), "*")
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+def without_salts(mol: Molecule) -> tuple[Molecule, list[int]]:
+    """A cleaner: what is not joined to the largest component (of the first atom on ties) goes."""
+    kept = sorted(max(mol.components(), key=lambda c: (len(c), -min(c))))
+    at = {a: i for i, a in enumerate(kept)}
+    return mol.part(kept), [at.get(i, -1) for i in range(len(mol.atoms))]
+
+
+def clean_space(synthons: DataFrame, cleaner: Callable = without_salts, seed: int = 0) -> DataFrame:
+    """``rxn_id, set_idx, frag_id, structure, cleaned`` of every synthon.
+
+    Each is assembled with one member of every other set of its reaction, which a hash of
+    its id and ``seed`` picks, the product is cleaned, and the synthon's atoms are read off.
+    ``cleaned`` is null if nothing could be assembled or is left, or a connector lost its atom.
+    """
+    rows = synthons.select("rxn_id", "set_idx", "frag_id", "structure")
+    order = Window.partitionBy("rxn_id", "set_idx").orderBy("frag_id")
+    numbered = rows.select("rxn_id", F.col("set_idx").alias("other"), (F.row_number().over(order) - 1).alias("k"), F.col("structure").alias("partner"))
+    sizes = rows.groupBy("rxn_id", F.col("set_idx").alias("other")).agg(F.count("*").alias("n"))
+    wanted = rows.join(sizes, "rxn_id").where("other <> set_idx").withColumn("k", F.pmod(F.xxhash64("frag_id", "set_idx", "other", F.lit(seed)), F.col("n")).cast("int"))
+    found = wanted.join(numbered, ["rxn_id", "other", "k"])
+    partners = found.groupBy("rxn_id", "set_idx", "frag_id").agg(F.sort_array(F.collect_list("partner")).alias("partners"))  # a few sets
+
+    @pandas_udf(T.StringType())
+    def cleaned(own: pd.Series, others: pd.Series) -> pd.Series:
+        def one(text: str, rest: Iterable[str] | None) -> str | None:
+            try:
+                return fr.clean_synthon(text, list(rest) if rest is not None else [], cleaner)
+            except ValueError:
+                return None
+
+        return pd.Series([one(t, r) for t, r in zip(own, others)], dtype=object)
+
+    return rows.join(partners, ["rxn_id", "set_idx", "frag_id"], "left").select("rxn_id", "set_idx", "frag_id", "structure", cleaned("structure", "partners").alias("cleaned"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.functions import bits
-from tessella.operators import aggregates, joins, ranking
-from tessella.plans.catalogue import FP, S, fingerprints, query, synthons, table
+from tessella.operators import aggregates, joins, ranking, stored
+from tessella.plans.catalogue import EITHER, FP, SHARED, S, fingerprints, query, synthons, table
+from tessella.runtime import scratch_path
 
 WIDE = "w AS (SELECT p_brand || '/' || p_type AS rxn_id, CAST(p_size % 3 AS INTEGER) AS set_idx, CAST(p_partkey AS VARCHAR) AS frag_id FROM part)"
 
@@ -162,3 +163,24 @@ POSITIONS, FACTORS = (0, 5, 11, 17, 23, 29, 34, 41, 47, 53, 59), (7919, 104729,
 def projection_hash(spark, sf_dir):
     """F4."""
     return fingerprints(spark, sf_dir).select("vec_id", bits.projection_hash(F.col("fp"), POSITIONS, FACTORS).cast("long").alias("code"))
+
+
+def _stored(spark, sf_dir):
+    path = scratch_path(spark, "bits")
+    stored.write_index(fingerprints(spark, sf_dir).select("vec_id", "fp"), path)
+    return stored.read_index(spark, path)
+
+
+@query(f"WITH {FP}, q AS (SELECT vec_id, a & 16711935 AS a, b & 255 AS b FROM f WHERE vec_id % 100 = 0) SELECT q.vec_id AS query_id, r.vec_id FROM q JOIN f r ON (q.a & r.a) = q.a AND (q.b & r.b) = q.b")
+def stored_supersets(spark, sf_dir):
+    """Bits 0-7 and 16-23 of the first word and 0-7 of the second."""
+    mask = F.array(F.lit(16711935).cast("long"), F.lit(255).cast("long"))
+    q = fingerprints(spark, sf_dir).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), bits.intersection(F.col("fp"), mask).alias("q_fp"))
+    return stored.supersets(_stored(spark, sf_dir), q).select("query_id", "vec_id")
+
+
+@query(f"WITH {FP} SELECT q.vec_id AS query_id, r.vec_id, CAST({SHARED} AS DOUBLE) / CAST({EITHER} AS DOUBLE) AS similarity FROM f q JOIN f r ON q.vec_id % 100 = 0 AND {EITHER} > 0 AND CAST({SHARED} AS DOUBLE) / CAST({EITHER} AS DOUBLE) >= 0.45")
+def stored_similar(spark, sf_dir):
+    """X6."""
+    q = fingerprints(spark, sf_dir).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("fp").alias("q_fp"))
+    return stored.similar(_stored(spark, sf_dir), q, 0.45).select("query_id", "vec_id", "similarity")

@@ -94,6 +94,14 @@ def structure_problems(spark, sf_dir):
     return search.check_index(search.build_index(rows)).select("rxn_id", "problem")
 
 
+@query(f"""WITH {T} SELECT frag_id, CAST(length(chain) AS INTEGER) AS size, CAST(CASE set_idx WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 2 END AS INTEGER) AS connectors FROM t""")
+def structure_cleaning(spark, sf_dir):
+    """Every fifth synthon comes with a salt, which cleaning removes."""
+    rows = space(spark, sf_dir).withColumn("structure", F.when(F.col("p_size") % 5 == 0, F.concat("structure", F.lit(".Cl"))).otherwise(F.col("structure")))
+    done = search.clean_space(rows).select("rxn_id", "set_idx", "frag_id", F.col("cleaned").alias("structure"))
+    return search.build_index(done).select("frag_id", "size", "connectors")
+
+
 SPACE_SQL = f"WITH {T} SELECT rxn_id, set_idx, frag_id, structure, CAST(CASE set_idx WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 2 END AS INTEGER) AS connectors FROM t"
 COLUMNS = ("rxn_id", "set_idx", "frag_id", "structure", "connectors")
 
