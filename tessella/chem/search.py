@@ -277,7 +277,8 @@ def clean_space(synthons: DataFrame, cleaner: Callable = without_salts, seed: in
 
     Each is assembled with one member of every other set of its reaction, which a hash of
     its id and ``seed`` picks, the product is cleaned, and the synthon's atoms are read off.
-    ``cleaned`` is null if nothing could be assembled or is left, or a connector lost its atom.
+    ``cleaned`` is null if nothing could be assembled or is left, or a connector lost its atom; parts that
+    an incomplete reaction does not join count as apart, so the default cleaner drops the smaller.
     """
     rows = synthons.select("rxn_id", "set_idx", "frag_id", "structure")
     order = Window.partitionBy("rxn_id", "set_idx").orderBy("frag_id")

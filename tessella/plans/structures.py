@@ -94,11 +94,14 @@ def structure_problems(spark, sf_dir):
     return search.check_index(search.build_index(rows)).select("rxn_id", "problem")
 
 
-@query(f"""WITH {T} SELECT frag_id, CAST(length(chain) AS INTEGER) AS size, CAST(CASE set_idx WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 2 END AS INTEGER) AS connectors FROM t""")
+@query(f"""WITH {T} SELECT frag_id, CAST(length(chain) AS INTEGER) AS size, CAST(CASE set_idx WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 2 END AS INTEGER) AS connectors FROM t
+WHERE rxn_id IN (SELECT rxn_id FROM t GROUP BY rxn_id HAVING count(DISTINCT set_idx) = 3)""")
 def structure_cleaning(spark, sf_dir):
-    """Every fifth synthon comes with a salt, which cleaning removes."""
+    """Every fifth synthon comes with a salt, which cleaning removes. Reactions
+    without all three sets are left out: their loose parts would count as salts."""
     rows = space(spark, sf_dir).withColumn("structure", F.when(F.col("p_size") % 5 == 0, F.concat("structure", F.lit(".Cl"))).otherwise(F.col("structure")))
-    done = search.clean_space(rows).select("rxn_id", "set_idx", "frag_id", F.col("cleaned").alias("structure"))
+    whole = rows.groupBy("rxn_id").agg(F.countDistinct("set_idx").alias("n")).where("n = 3")
+    done = search.clean_space(rows.join(whole, "rxn_id", "left_semi")).select("rxn_id", "set_idx", "frag_id", F.col("cleaned").alias("structure"))
     return search.build_index(done).select("frag_id", "size", "connectors")
 
 
