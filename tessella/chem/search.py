@@ -8,6 +8,7 @@ that Spark evaluates itself.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,7 +21,7 @@ from tessella.chem import fragments as fr
 from tessella.chem.molecule import Molecule, fingerprint, match, parse
 from tessella.functions import bits, scalars
 from tessella.operators import joins, ranking
-from tessella.runtime import materialize
+from tessella.runtime import byte_width, materialize
 
 WORDS = 16
 _INTS = T.ArrayType(T.IntegerType())
@@ -30,25 +31,28 @@ INDEX = T.StructType([
 ])
 
 
+@lru_cache(maxsize=32_768)
+def _description(text: str) -> tuple:
+    try:
+        mol = parse(text)
+    except ValueError:
+        return (None, None, None, None, None, None, ["unreadable"])
+    mask, far, size = fr.topology(mol)
+    return (fingerprint(mol, WORDS), size, mask, far, fr.bond_orders(mol), mol.rotatable(), fr.problems(mol))
+
+
 @pandas_udf(INDEX)
 def describe(structures: pd.Series) -> pd.DataFrame:
     """Fingerprint, size, topology, bond orders and problems of every structure; texts that
-    cannot be read have a problem and nulls."""
-    rows = []
-    for text in structures:
-        try:
-            mol = parse(text or "")
-        except ValueError:
-            rows.append((None, None, None, None, None, None, ["unreadable"]))
-            continue
-        mask, far, size = fr.topology(mol)
-        rows.append((fingerprint(mol, WORDS), size, mask, far, fr.bond_orders(mol), mol.rotatable(), fr.problems(mol)))
-    return pd.DataFrame(rows, columns=["fp", "size", "connectors", "dists", "orders", "rotatable", "problems"])
+    cannot be read have a problem and nulls. Workers keep those of the latest structures."""
+    return pd.DataFrame([_description(text or "") for text in structures], columns=["fp", "size", "connectors", "dists", "orders", "rotatable", "problems"])
 
 
 def build_index(synthons: DataFrame) -> DataFrame:
-    """``synthons(rxn_id, set_idx, frag_id, structure)`` with what searches need."""
-    rows = synthons.select("rxn_id", "set_idx", "frag_id", "structure").withColumn("d_", describe("structure"))
+    """``synthons(rxn_id, set_idx, frag_id, structure)`` with what searches need. Rows are
+    dealt anew, as a small file of many synthons would be one task here and in every search."""
+    rows = synthons.select("rxn_id", "set_idx", "frag_id", "structure")
+    rows = rows.repartition(byte_width(rows, 16 << 20)).withColumn("d_", describe("structure"))
     return materialize(rows.select("rxn_id", "set_idx", "frag_id", "structure", "d_.*"), "index")
 
 
@@ -61,10 +65,15 @@ def check_index(index: DataFrame) -> DataFrame:
     return ranking.validate(index.where("connectors is not null")).unionByName(own).unionByName(mixed).distinct()
 
 
+@lru_cache(maxsize=100_000)
+def _contains(query: str, target: str) -> bool:
+    return match(parse(query), parse(target)) is not None
+
+
 @pandas_udf(T.BooleanType())
 def contains(queries: pd.Series, targets: pd.Series) -> pd.Series:
     """Whether each target has the query as a subgraph."""
-    return pd.Series([match(parse(q), parse(t)) is not None for q, t in zip(queries, targets)])
+    return pd.Series([_contains(q, t) for q, t in zip(queries, targets)], dtype=bool)
 
 
 @pandas_udf(T.StringType())
@@ -93,11 +102,11 @@ def _splits(query: Molecule, cuts: int, labels: list[int]) -> list[tuple[str, ..
     return sorted(found)
 
 
-def search_level(index: DataFrame, query: Molecule, cuts: int, labels: list[int], first_only: bool = False) -> DataFrame | None:
+def search_level(index: DataFrame, query: Molecule, cuts: int, labels: list[int], first_only: bool = False, fill: bool = True) -> DataFrame | None:
     """Factorised hits of one split level: ``hit_id, rxn_id, set_idx, frag_id``.
 
     Every part of a split must be in some synthon of a set of its own; sets without a part
-    keep all of their synthons.
+    keep all of their synthons, which are listed only with ``fill``.
     """
     spark = index.sparkSession
     splits = _splits(query, cuts, labels)
@@ -105,7 +114,7 @@ def search_level(index: DataFrame, query: Molecule, cuts: int, labels: list[int]
         return None
     parts = sorted({p for s in splits for p in s})
     table = spark.createDataFrame([(p, fingerprint(parse(p), WORDS)) for p in parts], "part string, q_fp array<bigint>")
-    screened = joins.superset_join(table, index.where("fp is not null").select("rxn_id", "set_idx", "frag_id", "structure", "fp"))
+    screened = joins.superset_join(table, index.where("fp is not null").select("rxn_id", "set_idx", "frag_id", "structure", "fp"), words=WORDS)
     found = screened.where(contains("part", "structure")).select("part", "rxn_id", "set_idx", "frag_id")
     if first_only:
         found = ranking.top_per(found, ["part", "rxn_id", "set_idx"], [F.asc("frag_id")], 1, "r_").drop("r_")
@@ -128,15 +137,16 @@ def search_level(index: DataFrame, query: Molecule, cuts: int, labels: list[int]
     hits = hits.withColumn("hit_id", F.concat_ws(":", F.lit(str(cuts)), F.col("split").cast("string"), "rxn_id", F.array_join(F.transform("assigned", lambda x: x.cast("string")), ",")))
     each = hits.select("hit_id", "rxn_id", F.inline(F.arrays_zip(F.col("assigned").alias("set_idx"), F.col("parts").alias("part"))))
     members = each.join(found, ["part", "rxn_id", "set_idx"]).select("hit_id", "rxn_id", "set_idx", "frag_id")
-    return joins.fill_incomplete(members, index)
+    return joins.fill_incomplete(members, index) if fill else members
 
 
-def substructure_search(index: DataFrame, structure: str, max_cuts: int = 3, skip_discovered: bool = True, min_bits: int = 0, first_only: bool = False) -> DataFrame:
+def substructure_search(index: DataFrame, structure: str, max_cuts: int = 3, skip_discovered: bool = True, min_bits: int = 0, first_only: bool = False, fill: bool = True) -> DataFrame:
     """Hits of all split levels, ``level, hit_id, rxn_id, set_idx, frag_id``.
 
     Level 0 finds the query in single synthons. With ``skip_discovered``, a reaction is
     searched no further once a level has hit it. ``min_bits`` refuses queries that are too
-    simple (P7). The levels are few and known, so the driver walks them.
+    simple (P7). Without ``fill``, sets that a hit leaves whole have no rows. The levels are
+    few and known, so the driver walks them.
     """
     query = parse(structure)
     if sum(w.bit_count() for w in fingerprint(query, WORDS)) < min_bits:
@@ -145,7 +155,7 @@ def substructure_search(index: DataFrame, structure: str, max_cuts: int = 3, ski
     out = None
     for cuts in range(max_cuts + 1):
         rest = index if out is None or not skip_discovered else ranking.omit_discovered(index, out)
-        hits = search_level(rest, query, cuts, labels, first_only)
+        hits = search_level(rest, query, cuts, labels, first_only, fill)
         if hits is None:
             continue
         hits = materialize(hits.withColumn("level", F.lit(cuts)), "hits")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,8 +21,10 @@ def popcount(a: Column) -> Column:
     return _sum(F.transform(a, lambda x: F.bit_count(x)))
 
 
-def superset(x: Column, q: Column) -> Column:
-    """Whether ``x`` has every bit of ``q``."""
+def superset(x: Column, q: Column, words: int | None = None) -> Column:
+    """Whether ``x`` has every bit of ``q``; a stated number of ``words`` is compared in generated code."""
+    if words:
+        return reduce(lambda a, b: a & b, [q[w].bitwiseAND(x[w]) == q[w] for w in range(words)])
     return F.forall(F.zip_with(q, x, lambda a, b: a.bitwiseAND(b) == a), lambda t: t)
 
 
@@ -41,8 +44,11 @@ def hamming(a: Column, b: Column) -> Column:
     return _sum(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))))
 
 
-def tanimoto(a: Column, b: Column) -> Column:
-    """Shared bits over all bits; null for two empty sets."""
+def tanimoto(a: Column, b: Column, words: int | None = None) -> Column:
+    """Shared bits over all bits; null for two empty sets. As :func:`superset` with ``words``."""
+    if words:
+        shared, either = (reduce(lambda x, y: x + y, [F.bit_count(f(a[w], b[w])) for w in range(words)]) for f in (Column.bitwiseAND, Column.bitwiseOR))
+        return F.when(either != 0, shared.cast("double") / either.cast("double"))
     return F.try_divide(popcount(intersection(a, b)).cast("double"), popcount(union(a, b)).cast("double"))
 
 

@@ -23,13 +23,13 @@ def in_blocks(queries: DataFrame, rows: DataFrame, condition: Column | None = No
     return pairs if condition is None else pairs.where(condition)
 
 
-def superset_join(queries: DataFrame, rows: DataFrame, q_fp: str = "q_fp", fp: str = "fp", on: list[str] | None = None) -> DataFrame:
+def superset_join(queries: DataFrame, rows: DataFrame, q_fp: str = "q_fp", fp: str = "fp", on: list[str] | None = None, words: int | None = None) -> DataFrame:
     """Queries with the rows whose bitset holds all of theirs.
 
     With ``on``, an equality (reaction, set) makes it a hash join with the containment as a
     residual; without, the query set goes over all rows in blocks.
     """
-    contains = bits.superset(F.col(fp), F.col(q_fp))
+    contains = bits.superset(F.col(fp), F.col(q_fp), words)
     if on:
         return queries.join(rows, on).where(contains)
     return in_blocks(queries, rows, contains)
