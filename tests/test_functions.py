@@ -110,3 +110,13 @@ def test_all_supersets_and_similarity_matrix(spark):
     ref = spark.createDataFrame([("x", [1])], "item string, d array<bigint>")
     got = {r["item"]: r.similarity for r in joins.similarity_matrix(ref, lib, ["d"]).collect()}
     assert got["p"] == 0.5 and got["q"] == 0.0 and got["r"] != got["r"] and len(got) == 3
+
+
+def test_merged_summary_is_that_of_the_pairs(spark):
+    """Ids that begin one another, a reaction without one of the sets, and 16e8 pairs."""
+    rows = [("r", 0, "1"), ("r", 0, "10"), ("r", 0, "1:::0"), ("r", 1, "5"), ("r", 1, "50"), ("r", 2, "7"), ("s", 0, "1"), ("t", 1, "2")]
+    table = spark.createDataFrame(rows, "rxn_id string, set_idx int, frag_id string").withColumn("connectors", F.lit(1))
+    pairs = ranking.merge_sets(table, 0, 1).groupBy("rxn_id", "set_idx").agg(F.count("*").alias("n"), F.min("frag_id").alias("first_id"))
+    assert sorted(map(tuple, ranking.merged_summary(table, 0, 1).collect())) == sorted(map(tuple, pairs.collect()))
+    large = spark.range(80_000).select(F.lit("r").alias("rxn_id"), (F.col("id") % 2).cast("int").alias("set_idx"), F.col("id").cast("string").alias("frag_id"))
+    assert [tuple(r) for r in ranking.merged_summary(large, 0, 1).collect()] == [("r", 0, 40_000**2, "0:::1")]
