@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from tessella.functions import bits, scalars
-from tessella.operators import aggregates, joins, ranking, sampling
+from tessella.operators import aggregates, joins, nearest, ranking, sampling
 
 
 def test_bit_round_trips(spark):
@@ -120,3 +120,27 @@ def test_merged_summary_is_that_of_the_pairs(spark):
     assert sorted(map(tuple, ranking.merged_summary(table, 0, 1).collect())) == sorted(map(tuple, pairs.collect()))
     large = spark.range(80_000).select(F.lit("r").alias("rxn_id"), (F.col("id") % 2).cast("int").alias("set_idx"), F.col("id").cast("string").alias("frag_id"))
     assert [tuple(r) for r in ranking.merged_summary(large, 0, 1).collect()] == [("r", 0, 40_000**2, "0:::1")]
+
+
+def test_most_similar_in_tiles_equals_sorting_all_pairs(spark, monkeypatch):
+    """Many equal similarities, empty bitsets, null groups, 64-bit pairs of words and a single one."""
+    monkeypatch.setattr(nearest, "ROWS", 16)
+    monkeypatch.setattr(nearest, "QUERIES", 4)
+    rng = random.Random(2)
+    data = [(i, rng.choice([0, 1, None]), [rng.getrandbits(4) << 28, rng.getrandbits(3), 0 if i % 5 else 1]) for i in range(90)] + [(90, 1, [0, 0, 0]), (91, 0, [0, 0, 0])]
+    rows = spark.createDataFrame(data, "vec_id long, label int, fp array<bigint>")
+    queries = rows.where("vec_id % 10 = 0 or vec_id = 91").select(F.col("vec_id").alias("query_id"), F.col("fp").alias("q_fp"))
+
+    def alike(a, b):
+        either = sum((x | y).bit_count() for x, y in zip(a, b))
+        return sum((x & y).bit_count() for x, y in zip(a, b)) / either if either else None
+
+    for by, others, k in ((None, True, 5), ("label", False, 3), ("label", True, 100)):
+        want = []
+        for q in [r for r in data if r[0] % 10 == 0 or r[0] == 91]:
+            for g in {r[1] if by else None for r in data}:
+                own = [(alike(q[2], r[2]), r[0], sum(x.bit_count() for x in r[2])) for r in data if (not by or r[1] == g) and not (others and r[0] == q[0])]
+                own.sort(key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+                want += [(q[0], g, v, float(n), s, i + 1) for i, (s, v, n) in enumerate(own[:k])]
+        got = nearest.most_similar(queries, rows, k, 3, by, others).select("query_id", "by", "vec_id", "size", "similarity", "rank").collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
