@@ -40,7 +40,10 @@ def difference(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x.bitwiseAND(F.bitwise_not(y)))
 
 
-def hamming(a: Column, b: Column) -> Column:
+def hamming(a: Column, b: Column, words: int | None = None) -> Column:
+    """The number of bits that differ. As :func:`superset` with ``words``."""
+    if words:
+        return reduce(lambda x, y: x + y, [F.bit_count(a[w].bitwiseXOR(b[w])) for w in range(words)])
     return _sum(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))))
 
 

@@ -1,6 +1,6 @@
 """W1, W2 of a stated query set against all rows: the most similar by bitset, in tiles.
 
-A tile is a bounded part of the rows and a bounded part of the queries. A task scores one
+A tile is a bounded part of the rows and a bounded part of the queries, dealt by their ids. A task scores one
 tile at a time, a block of queries after another, and only the best of a tile leave it, so
 neither the scores of a query nor those of a tile are ever sorted or shuffled whole.
 """
@@ -78,9 +78,9 @@ def most_similar(queries: DataFrame, rows: DataFrame, k: int, words: int, by: st
     spread = min(2 * cores(rows.sparkSession), n_queries * n_rows // (4 * SCORES))
     down, across = max(1, -(-n_rows // ROWS), spread), max(1, -(-n_queries // QUERIES))
     group = F.col(by).cast("long") if by else F.lit(None).cast("long")
-    left = queries.select("query_id", *[F.col("q_fp")[w].alias(f"w{w}") for w in range(words)], (F.monotonically_increasing_id() % across).alias("s_"))
+    left = queries.select("query_id", *[F.col("q_fp")[w].alias(f"w{w}") for w in range(words)], F.pmod(F.xxhash64("query_id"), F.lit(across)).cast("long").alias("s_"))
     left = left.withColumn("t_", F.explode(F.sequence(F.lit(0), F.lit(down - 1)))).withColumn("t_", F.col("t_").cast("long"))
-    right = rows.select("vec_id", group.alias("by"), *[F.col("fp")[w].alias(f"w{w}") for w in range(words)], (F.monotonically_increasing_id() % down).alias("t_"))
+    right = rows.select("vec_id", group.alias("by"), *[F.col("fp")[w].alias(f"w{w}") for w in range(words)], F.pmod(F.xxhash64("vec_id"), F.lit(down)).cast("long").alias("t_"))
     right = right.withColumn("s_", F.explode(F.sequence(F.lit(0), F.lit(across - 1)))).withColumn("s_", F.col("s_").cast("long"))
     width = max(2 * cores(rows.sparkSession), down * across)
     sides = [side.repartition(width, "s_", "t_").groupBy("s_", "t_") for side in (left, right)]

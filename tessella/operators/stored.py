@@ -34,18 +34,18 @@ def _bounds(queries: DataFrame) -> tuple[int, int]:
     return (0, -1) if low is None else (int(low), int(high))
 
 
-def supersets(index: DataFrame, queries: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Queries with the rows whose bitset holds all of theirs."""
+def supersets(index: DataFrame, queries: DataFrame, width: int = WIDTH, words: int | None = None) -> DataFrame:
+    """Queries with the rows whose bitset holds all of theirs; give the number of ``words`` if all have it."""
     low, _ = _bounds(queries)
     near = index.where(F.col("bucket") >= low // width).drop("bucket")
-    return joins.superset_join(queries, near).drop("bits")
+    return joins.superset_join(queries, near, words=words, dealt=True).drop("bits")
 
 
-def similar(index: DataFrame, queries: DataFrame, least: float, width: int = WIDTH) -> DataFrame:
-    """Queries with the rows of a Tanimoto similarity of ``least`` (above 0) or more."""
+def similar(index: DataFrame, queries: DataFrame, least: float, width: int = WIDTH, words: int | None = None) -> DataFrame:
+    """Queries with the rows of a Tanimoto similarity of ``least`` (above 0) or more; ``words`` as in :func:`supersets`."""
     low, high = _bounds(queries)
     near = index.where(F.col("bucket").between(int(low * least) // width, int(high / least) // width)).drop("bucket")
     counted = queries.withColumn("q_bits", bits.popcount(F.col("q_fp")))
     fits = F.col("bits").between(F.floor(F.col("q_bits") * least), F.ceil(F.col("q_bits") / least))
-    pairs = joins.in_blocks(counted, near, fits).withColumn("similarity", bits.tanimoto(F.col("q_fp"), F.col("fp")))
+    pairs = joins.in_blocks(counted, near, fits, sizes=joins.counts(queries, near)).withColumn("similarity", bits.tanimoto(F.col("q_fp"), F.col("fp"), words))
     return pairs.where(F.col("similarity") >= least).drop("bits", "q_bits")

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from tessella.functions import bits, scalars
-from tessella.operators import aggregates, joins, nearest, ranking, sampling
+from tessella.operators import aggregates, joins, nearest, ranking, sampling, stored
 
 
 def test_bit_round_trips(spark):
@@ -144,3 +144,23 @@ def test_most_similar_in_tiles_equals_sorting_all_pairs(spark, monkeypatch):
                 want += [(q[0], g, v, float(n), s, i + 1) for i, (s, v, n) in enumerate(own[:k])]
         got = nearest.most_similar(queries, rows, k, 3, by, others).select("query_id", "by", "vec_id", "size", "similarity", "rank").collect()
         assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_pairs_are_dealt_over_tasks_however_few_files_rows_lie_in(spark, tmp_path, monkeypatch):
+    rng = random.Random(4)
+    data = [(i, [rng.getrandbits(32), rng.getrandbits(6) if i % 9 else 0]) for i in range(400)] + [(400, [0, 0]), (401, None)]
+    rows = spark.createDataFrame(data, "vec_id long, fp array<bigint>").coalesce(1)
+    stored.write_index(rows, str(tmp_path / "index"))
+    index = stored.read_index(spark, str(tmp_path / "index"))
+    queries = rows.where("vec_id % 8 = 0 and fp is not null").select(F.col("vec_id").alias("query_id"), F.col("fp").alias("q_fp"))
+    few = queries.withColumn("q_fp", bits.intersection(F.col("q_fp"), F.array(F.lit(3).cast("long"), F.lit(1).cast("long"))))
+    whole = [(i, fp) for i, fp in data if fp]
+    alike = {(i, j) for i, a in whole if i % 8 == 0 for j, b in whole if (n := sum((x | y).bit_count() for x, y in zip(a, b))) and sum((x & y).bit_count() for x, y in zip(a, b)) / n >= 0.45}
+    above = {(i, j) for i, a in whole if i % 8 == 0 for j, b in whole if a[0] & 3 & b[0] == a[0] & 3 and a[1] & 1 & b[1] == a[1] & 1}
+    for sent in (joins.SENT, 0):  # broadcast, and part by part
+        monkeypatch.setattr(joins, "SENT", sent)
+        for found, want in ((stored.similar(index, queries, 0.45, words=2), alike), (stored.supersets(index, few, words=2), above)):
+            assert {(r.query_id, r.vec_id) for r in found.collect()} == want and found.count() == len(want)
+            assert sent == 0 or found.rdd.getNumPartitions() >= 8
+    monkeypatch.setattr(joins, "PAIRS", 500)
+    assert joins.in_blocks(queries, rows, sizes=joins.counts(queries, rows)).count() == queries.count() * rows.count()
