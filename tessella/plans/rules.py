@@ -176,11 +176,11 @@ def stored_supersets(spark, sf_dir):
     """Bits 0-7 and 16-23 of the first word and 0-7 of the second."""
     mask = F.array(F.lit(16711935).cast("long"), F.lit(255).cast("long"))
     q = fingerprints(spark, sf_dir).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), bits.intersection(F.col("fp"), mask).alias("q_fp"))
-    return stored.supersets(_stored(spark, sf_dir), q).select("query_id", "vec_id")
+    return stored.supersets(_stored(spark, sf_dir), q, words=2).select("query_id", "vec_id")
 
 
 @query(f"WITH {FP} SELECT q.vec_id AS query_id, r.vec_id, CAST({SHARED} AS DOUBLE) / CAST({EITHER} AS DOUBLE) AS similarity FROM f q JOIN f r ON q.vec_id % 100 = 0 AND {EITHER} > 0 AND CAST({SHARED} AS DOUBLE) / CAST({EITHER} AS DOUBLE) >= 0.45")
 def stored_similar(spark, sf_dir):
     """X6."""
     q = fingerprints(spark, sf_dir).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("fp").alias("q_fp"))
-    return stored.similar(_stored(spark, sf_dir), q, 0.45).select("query_id", "vec_id", "similarity")
+    return stored.similar(_stored(spark, sf_dir), q, 0.45, words=2).select("query_id", "vec_id", "similarity")
