@@ -164,3 +164,12 @@ def test_pairs_are_dealt_over_tasks_however_few_files_rows_lie_in(spark, tmp_pat
             assert sent == 0 or found.rdd.getNumPartitions() >= 8
     monkeypatch.setattr(joins, "PAIRS", 500)
     assert joins.in_blocks(queries, rows, sizes=joins.counts(queries, rows)).count() == queries.count() * rows.count()
+
+
+def test_similarity_matrix_is_dealt_and_keeps_its_nulls(spark):
+    data = [(i, [i % 8], None if i % 3 == 0 else [i % 4]) for i in range(60)]
+    library = spark.createDataFrame(data, "item long, a array<bigint>, b array<bigint>").coalesce(1)
+    plain, dealt = (joins.similarity_matrix(library.where("item % 10 = 0"), library, ("a", "b"), words=w) for w in (None, 1))
+    assert dealt.rdd.getNumPartitions() >= 8 and dealt.count() == 6 * 60 * 2
+    assert sorted(map(repr, map(tuple, dealt.collect()))) == sorted(map(repr, map(tuple, plain.collect())))
+    assert dealt.where("descriptor = 'b' and item % 3 = 0 and not isnan(similarity)").count() == 0
