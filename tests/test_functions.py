@@ -173,3 +173,12 @@ def test_similarity_matrix_is_dealt_and_keeps_its_nulls(spark):
     assert dealt.rdd.getNumPartitions() >= 8 and dealt.count() == 6 * 60 * 2
     assert sorted(map(repr, map(tuple, dealt.collect()))) == sorted(map(repr, map(tuple, plain.collect())))
     assert dealt.where("descriptor = 'b' and item % 3 = 0 and not isnan(similarity)").count() == 0
+
+
+def test_rules_of_a_space_read_it_once(spark, tmp_path):
+    rows = [("ok", 0, 1), ("ok", 1, 1), ("two", 0, 1), ("two", 0, 3), ("gap", 0, 5), ("gap", 1, 5), ("bare", 0, 0), ("none", 0, None), ("three", 0, 1), ("three", 1, 1), ("three", 2, 1)]
+    spark.createDataFrame(rows, "rxn_id string, set_idx int, connectors int").write.parquet(str(tmp_path / "s"))
+    found = ranking.validate(spark.read.parquet(str(tmp_path / "s")))
+    loose, gap = "connector not on two sets", "connectors not consecutive"
+    assert sorted(map(tuple, found.collect())) == sorted([("two", "mixed connectors in a set"), ("two", loose), ("gap", gap), ("bare", "no connector"), ("three", loose)])
+    assert found._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 1
